@@ -38,3 +38,17 @@ def running_sum(df: DataFrame, groups: list[str], order: list[str], value: str,
     inner = ranged.withColumn("_within", F.sum(F.coalesce(F.col(value), F.lit(0))).over(within))
     joined = join_same(inner, parts, ["_part", *groups], small=not total)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_within") + F.coalesce(F.col("_before"), F.lit(0))).alias(out), *([total] if total else []))
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, hot: int = 100_000) -> DataFrame:
+    """Inner join with a right side that has each key once and knows, in `weight`, how many rows of left have it.
+
+    The keys of more than `hot` rows are sent to all executors, so that their rows need no shuffle: at most one key for every
+    `hot` rows of left. The other keys are joined as usual; none is hot there.
+    """
+    many = right.filter(F.col(weight) > hot)
+    if many.isEmpty():
+        return left.join(right.drop(weight), keys)
+    flagged = left.join(F.broadcast(many.drop(weight).withColumn("_hot", F.lit(True))), keys, "left")
+    cold = flagged.filter("_hot is null").select(*left.columns).join(right.filter(F.col(weight) <= hot).drop(weight), keys)
+    return flagged.filter("_hot").drop("_hot").unionByName(cold)
