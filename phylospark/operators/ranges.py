@@ -18,26 +18,32 @@ def join_same(left: DataFrame, right: DataFrame, cols: list[str], how: str = "le
     return left.join(F.broadcast(right) if small else right, on, how).drop(*[f"_r_{c}" for c in cols])
 
 
-def running_sum(df: DataFrame, groups: list[str], order: list[str], value: str, out: str = "running", total: str | None = None, cut: str = "ranged") -> DataFrame:
-    """Add `out`, and `total` if it is named: the sum over all of the group. `out` is the sum of `value` over the rows of the same groups up to and with this one, in the given order.
+def running_sum(df: DataFrame, groups: list[str], order: list[str], value: str | list[str], out: str | list[str] = "running", total: str | None = None, cut: str = "ranged") -> DataFrame:
+    """Add `out`: the sum of `value` over the rows of the same groups up to and with this one, in the given order; several of both if these
+    are lists. `total`, if named, is the (first) sum over all of the group. Without groups the whole table is one.
 
     A group may hold any share of the rows: the table is range-partitioned by groups and order, so that a large group is
     spread over many partitions; each adds the sums of the partitions before it. Rows equal in groups and order are
     taken in an unspecified order and stay in one partition, so the order should be unique. Nulls are a group of their own and count as 0 in sums.
     """
+    values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
+    k = range(len(values))
+    zero = lambda c: F.coalesce(c, F.lit(0))
     ranged = df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id())
     ranged = materialize(ranged, cut)  # both uses below must see the same partitions
-    parts = ranged.groupBy("_part", *groups).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_sum"))
+    parts = ranged.groupBy("_part", *groups).agg(*[F.sum(zero(F.col(values[i]))).alias(f"_sum{i}") for i in k])
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    parts = parts.withColumns({f"_before{i}": F.sum(f"_sum{i}").over(before) for i in k})
     if total:
-        parts = parts.withColumn(total, F.sum("_sum").over(Window.partitionBy(*groups))).drop("_sum")
+        parts = parts.withColumn(total, F.sum("_sum0").over(Window.partitionBy(*groups)))
     else:  # only a group that began in an earlier partition has an offset: at most one row for each partition of the range-sort
-        parts = parts.drop("_sum").filter(F.col("_before") != 0)
+        parts = parts.filter(F.col("_before0").isNotNull())
+    parts = parts.drop(*[f"_sum{i}" for i in k])
     within = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = ranged.withColumn("_within", F.sum(F.coalesce(F.col(value), F.lit(0))).over(within))
+    inner = ranged.withColumns({f"_within{i}": F.sum(zero(F.col(values[i]))).over(within) for i in k})
     joined = join_same(inner, parts, ["_part", *groups], small=not total)
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_within") + F.coalesce(F.col("_before"), F.lit(0))).alias(out), *([total] if total else []))
+    sums = [(F.col(f"_within{i}") + zero(F.col(f"_before{i}"))).alias(outs[i]) for i in k]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *sums, *([total] if total else []))
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, hot: int = 100_000) -> DataFrame:
