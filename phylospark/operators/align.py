@@ -5,8 +5,11 @@ Locus-level decisions are small tables keyed by locus; the sequences meet them i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from phylospark.functions import seqs
@@ -169,12 +172,24 @@ def split(aln: DataFrame, parts: DataFrame, prefix: str | None = None) -> DataFr
 # --- trimming
 
 
+@F.pandas_udf(StringType())
+def _picked(seq: pd.Series, at: pd.Series) -> pd.Series:
+    """The characters at these positions (from 0, sorted)."""
+    out = []
+    for s, k in zip(seq, at):
+        k = np.asarray(k)
+        if s.isascii():
+            out.append(np.frombuffer(s.encode(), dtype=np.uint8)[k[k < len(s)]].tobytes().decode())
+        else:
+            out.append("".join(s[i] for i in k if i < len(s)))
+    return pd.Series(out, dtype=object)
+
+
 def _assemble(aln: DataFrame, kept: DataFrame) -> DataFrame:
     """The kept sites (locus, pos from 0) of each sequence. The positions of a locus are one value next to its sequences, no longer than one of them."""
-    masks = kept.groupBy("locus").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("_at"))
-    # The characters that are kept come out of the string by position: split once, then pick.
-    rows = aln.join(masks, "locus").withColumn("_chars", F.split("seq", ""))
-    return rows.withColumn("seq", F.array_join(F.transform("_at", lambda i: F.get(F.col("_chars"), i - 1)), "")).drop("_at", "_chars")
+    masks = kept.groupBy("locus").agg(F.sort_array(F.collect_list("pos")).alias("_at"))
+    rows = aln.join(masks, "locus")
+    return rows.withColumn("seq", _picked("seq", "_at")).drop("_at")
 
 
 def trim_missing(aln: DataFrame, percent: float) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from phylospark.functions import seqs
 from phylospark.operators.ranges import join_same, running_sum
@@ -21,45 +25,114 @@ def read_counts(reads: DataFrame) -> DataFrame:
     return reads.groupBy("path").agg(F.count("*").alias("read_count"))
 
 
-def qualities(qual: Column) -> Column:
-    """The qualities of a read as an array; a character above 'J' raises."""
-    return F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), seqs.phred)
-
-
-def _quality_sums() -> list[Column]:
-    """Columns of one read: number of qualities, their sum, least and most, and how many are low. From counts of each character, as sums over at most 42 of them would cost more than one pass."""
-    q = F.aggregate(
-        qualities(F.col("qual")),
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("s"), F.lit(127).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).cast("bigint").alias("low")),
-        lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), F.least(a["lo"], x).alias("lo"), F.greatest(a["hi"], x).alias("hi"), (a["low"] + F.when(x < LOW_Q, 1).otherwise(0)).alias("low")),
-    )
-    return [q.alias("_q")]
+_LETTERS = "GCAT"
+_KIND = np.full(256, 5, dtype=np.int64)  # 0 to 3: G, C, A, T in either case; 4: N; 5: others
+for _k, _c in enumerate(_LETTERS + "N"):
+    _KIND[[ord(_c), ord(_c.lower())]] = _k
+_SUMS = ["read_count", "base_count", *(f"{c}_count" for c in "gcatn"), "_qn", "_qs", "low_qscore"]
+_LOWS, _HIGHS = ["min_read_len", "min_qscore"], ["max_read_len", "max_qscore"]
+NO_LOW, NO_HIGH = 1 << 60, -1
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts in a row, and the number of each text's; a null counts as ''."""
+    texts = pc.fill_null(texts, "")
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return data, np.diff(offsets)
+
+
+def _quality(data: np.ndarray) -> np.ndarray:
+    """Qualities of their characters: the code less 33. A character above 'J' raises."""
+    if data.size and data.max() > 74:
+        raise ValueError("a quality character above J")
+    return data.astype(np.int64) - 33
+
+
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by path of each batch of reads: histograms of (path, kind of base) and of (path, quality)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        paths = b.column(0).dictionary_encode(null_encoding="encode")
+        of, n = paths.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(paths.dictionary)
+        bases, sizes = _bytes(b.column(1))
+        kinds = np.bincount(np.repeat(of, sizes) * 6 + _KIND[bases], minlength=n * 6).reshape(n, 6)
+        quals, sizes = _bytes(b.column(2))
+        q = np.bincount(np.repeat(of, sizes) * 256 + (_quality(quals) + 128), minlength=n * 256).reshape(n, 256)
+        value = np.arange(256) - 128
+        length = pc.utf8_length(b.column(1))
+        known = pc.is_valid(length).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(length, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        low, high = np.full(n, NO_LOW), np.full(n, NO_HIGH)
+        np.minimum.at(low, of[known], lengths[known])
+        np.maximum.at(high, of[known], lengths[known])
+        some = q.any(axis=1)
+        total = np.zeros(n, dtype=np.int64)
+        np.add.at(total, of, lengths)
+        cols = {
+            "read_count": np.bincount(of, minlength=n), "base_count": total, **{f"{c}_count": kinds[:, k] for k, c in enumerate("gcatn")},
+            "_qn": q.sum(axis=1), "_qs": q @ value, "low_qscore": q[:, value < LOW_Q].sum(axis=1),
+            "min_read_len": low, "min_qscore": np.where(some, value[(q > 0).argmax(axis=1)], NO_LOW),
+            "max_read_len": high, "max_qscore": np.where(some, value[255 - (q[:, ::-1] > 0).argmax(axis=1)], NO_HIGH),
+        }
+        names = [*_SUMS, *_LOWS, *_HIGHS]
+        yield pa.RecordBatch.from_arrays([paths.dictionary.cast(pa.string()), *(pa.array(cols[c].astype(np.int64)) for c in names)], names=["path", *names])
 
 
 def read_summary(reads: DataFrame) -> DataFrame:
-    """One row a file: counts, lengths, bases, contents and qualities. One pass over the reads, sums before the shuffle."""
-    up = F.upper("seq")
-    n = F.length("seq").cast("bigint")
-    rows = reads.select("path", n.alias("_len"), *[seqs.count_of(up, c).alias(f"_{c}") for c in "GCATN"], *_quality_sums())
-    out = rows.groupBy("path").agg(
-        F.count("*").alias("read_count"), F.sum("_len").alias("base_count"), F.min("_len").alias("min_read_len"), F.max("_len").alias("max_read_len"),
-        *[F.sum(f"_{c}").alias(f"{c.lower()}_count") for c in "GCATN"],
-        F.sum("_q.n").alias("_qn"), F.sum("_q.s").alias("_qs"), F.sum("_q.low").alias("low_qscore"),
-        F.min(F.when(F.col("_q.n") > 0, F.col("_q.lo"))).alias("min_qscore"), F.max(F.when(F.col("_q.n") > 0, F.col("_q.hi"))).alias("max_qscore"),
-    )
+    """One row a file: counts, lengths, bases, contents and qualities. One pass over the reads; each Arrow batch becomes a row for each file in it."""
+    ddl = "path string, " + ", ".join(f"{c} bigint" for c in (*_SUMS, *_LOWS, *_HIGHS))
+    out = reads.select("path", "seq", "qual").mapInArrow(_summary, ddl).groupBy("path").agg(*[F.sum(c).alias(c) for c in _SUMS], *[F.min(c).alias(c) for c in _LOWS], *[F.max(c).alias(c) for c in _HIGHS])
+    out = out.withColumns({c: F.when(F.col(c) < NO_LOW, F.col(c)) for c in _LOWS} | {c: F.when(F.col(c) > NO_HIGH, F.col(c)) for c in _HIGHS})
     gc, at = F.col("g_count") + F.col("c_count"), F.col("a_count") + F.col("t_count")
     out = out.withColumns({"mean_read_len": ratio("base_count", "read_count"), "gc_count": gc, "at_count": at, "gc_content": ratio(gc, "base_count"), "at_content": ratio(at, "base_count"), "n_content": ratio("n_count", "base_count"), "mean_qscore": ratio("_qs", "_qn")})
     return out.drop("_qn", "_qs")
 
 
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by path and position of each batch of reads, for the positions that any of its reads of the path has."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        paths = b.column(0).dictionary_encode(null_encoding="encode")
+        of, n = paths.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(paths.dictionary)
+        bases, sizes = _bytes(b.column(1))
+        quals, q_sizes = _bytes(b.column(2))
+        longest = np.zeros(n, dtype=np.int64)
+        np.maximum.at(longest, of, sizes)
+        first = np.concatenate([[0], np.cumsum(longest)])
+        total = int(first[-1])
+
+        def cells(sizes: np.ndarray) -> np.ndarray:
+            """For each byte its cell: where its path begins, and its position in the read."""
+            start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            return np.repeat(first[of], sizes) + np.arange(int(sizes.sum())) - start
+
+        at = cells(sizes)
+        counts = np.bincount(at * 6 + _KIND[bases], minlength=total * 6).reshape(total, 6)
+        inside = np.arange(len(quals)) - np.repeat(np.cumsum(q_sizes) - q_sizes, q_sizes) < np.repeat(sizes, q_sizes)  # qualities behind a shorter sequence do not count
+        q_at, q = cells(q_sizes)[inside], _quality(quals)[inside]
+        low, high = np.full(total, NO_LOW), np.full(total, -NO_LOW)
+        np.minimum.at(low, q_at, q)
+        np.maximum.at(high, q_at, q)
+        cols = {"pos": np.arange(total) - np.repeat(first[:-1], longest) + 1, **{f"{c}_count": counts[:, k] for k, c in enumerate("gcat")}, "_n": np.bincount(q_at, minlength=total), "_s": np.bincount(q_at, weights=q, minlength=total), "_lo": low, "_hi": high}
+        path = paths.dictionary.cast(pa.string()).take(pa.array(np.repeat(np.arange(n), longest)))
+        yield pa.RecordBatch.from_arrays([path, *(pa.array(v.astype(np.int64)) for v in cols.values())], names=["path", *cols])
+
+
 def read_positions(reads: DataFrame) -> DataFrame:
-    """path, pos (from 1), counts of G, C, A, T, their shares among these four, mean, least and most quality."""
-    bases = F.filter(F.split(F.upper("seq"), ""), lambda c: c != "")
-    quals = F.coalesce(qualities(F.col("qual")), F.array().cast("array<int>"))
-    rows = reads.filter("seq is not null").select("path", F.posexplode(F.arrays_zip(bases.alias("b"), quals.alias("q"))).alias("pos", "x")).filter("x.b is not null")
-    out = rows.groupBy("path", (F.col("pos") + 1).alias("pos")).agg(*[F.count_if(F.col("x.b") == c).alias(f"{c.lower()}_count") for c in "GCAT"], F.sum("x.q").alias("_s"), F.count("x.q").alias("_n"), F.min("x.q").alias("min_qscore"), F.max("x.q").alias("max_qscore"))
+    """path, pos (from 1), counts of G, C, A, T, their shares among these four, mean, least and most quality. Positions count bytes, which for
+    sequences are characters."""
+    sums = ["g_count", "c_count", "a_count", "t_count", "_n", "_s"]
+    ddl = "path string, pos bigint, " + ", ".join(f"{c} bigint" for c in (*sums, "_lo", "_hi"))
+    rows = reads.filter("seq is not null").select("path", "seq", "qual").mapInArrow(_positions, ddl)
+    out = rows.groupBy("path", F.col("pos").cast("int").alias("pos")).agg(*[F.sum(c).alias(c) for c in sums], F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    out = out.withColumns({"min_qscore": F.when(F.col("_n") > 0, F.col("_lo")), "max_qscore": F.when(F.col("_n") > 0, F.col("_hi"))})
     total = F.col("g_count") + F.col("c_count") + F.col("a_count") + F.col("t_count")
-    return out.withColumns({f"{c}_prop": ratio(f"{c}_count", total) for c in "gcat"} | {"mean_qscore": ratio("_s", "_n")}).drop("_s", "_n")
+    return out.withColumns({f"{c}_prop": ratio(f"{c}_count", total) for c in "gcat"} | {"mean_qscore": ratio("_s", "_n")}).drop("_s", "_n", "_lo", "_hi")
 
 
 # --- contigs: columns path, seq

@@ -1,37 +1,167 @@
 """Site statistics of alignments: columns of aligned sequences.
 
-The only table with a row for each character. It is never kept: positions are exploded and summed up by (locus, position) with partial sums
-before the shuffle, so that a locus of any size is spread over its positions.
+A table with a row for each character would be some forty times as large as the sequences, so none is made. Sequences are counted in NumPy
+matrices of (symbol, position), one for each locus and block of positions, in two steps:
+1. each task counts what it has: a locus with several sequences becomes one compressed matrix, one with few stays as it is (the partial
+   aggregation before the shuffle; of a locus of any size, at most a few matrices a task go on),
+2. the parts of a locus and block meet in one task that adds them up.
+`site_states_sql` says the same with one row for each character, for tests and small tables.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.functions import seqs
 
+#: Positions in a block: of a longer alignment, each block is counted on its own.
+BLOCK = 1 << 16
+#: Sequences of a locus in a task from which they become a matrix.
+FEW = 8
+#: Characters that a task holds before it passes on its counts.
+HELD = 32_000_000
+ASCII = 128
+
+_PART = pa.schema([("locus", pa.string()), ("block", pa.int32()), ("piece", pa.string()), ("codes", pa.list_(pa.int32())), ("width", pa.int32()), ("counts", pa.binary())])
+_PART_DDL = "locus string, block int, piece string, codes array<int>, width int, counts binary"
+_SITE = pa.schema([("locus", pa.string()), ("pos", pa.int32()), ("n_states", pa.int32()), ("n_twice", pa.int32()), ("n_missing", pa.int64()), ("n_rows", pa.int64())])
+_SITE_DDL = "locus string, pos int, n_states int, n_twice int, n_missing bigint, n_rows bigint"
+
+
+class Counts:
+    """How often each symbol occurs at each position of a block."""
+
+    def __init__(self) -> None:
+        self.table = np.zeros((ASCII, 0), dtype=np.int64)
+        self.other: dict[int, np.ndarray] = {}  # symbols outside of ASCII
+
+    def _widen(self, width: int) -> None:
+        more = width - self.table.shape[1]
+        if more > 0:
+            self.table = np.pad(self.table, ((0, 0), (0, more)))
+            self.other = {c: np.pad(v, (0, more)) for c, v in self.other.items()}
+
+    def add(self, piece: str) -> None:
+        n = len(piece)
+        self._widen(n)
+        at = np.arange(n)
+        if piece.isascii():
+            self.table[np.frombuffer(piece.encode(), dtype=np.uint8), at] += 1
+            return
+        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        low = codes < ASCII
+        self.table[codes[low], at[low]] += 1
+        for c in np.unique(codes[~low]):
+            self._row(int(c))[:n][codes == c] += 1
+
+    def _row(self, code: int) -> np.ndarray:
+        if code < ASCII:
+            return self.table[code]
+        return self.other.setdefault(code, np.zeros(self.table.shape[1], dtype=np.int64))
+
+    def add_packed(self, codes: list[int], width: int, packed: bytes) -> None:
+        self._widen(width)
+        rows = np.frombuffer(zlib.decompress(packed), dtype=np.int64).reshape(len(codes), width)
+        for c, r in zip(codes, rows):
+            self._row(c)[:width] += r
+
+    def packed(self) -> tuple[list[int], int, bytes]:
+        codes = [int(c) for c in np.flatnonzero(self.table.any(axis=1))] + sorted(self.other)
+        rows = np.stack([self._row(c) for c in codes]) if codes else np.zeros((0, self.table.shape[1]), dtype=np.int64)
+        return codes, self.table.shape[1], zlib.compress(np.ascontiguousarray(rows).tobytes(), 1)
+
+    def sites(self, datatype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """n_states, n_twice, n_missing, n_rows by position."""
+        others = np.stack(list(self.other.values())) if self.other else np.zeros((0, self.table.shape[1]), dtype=np.int64)
+        if datatype == "aa":
+            states = np.ones(ASCII, dtype=bool)
+            states[[ord(c) for c in seqs.AA_AMBIGUOUS]] = False
+            rows = np.concatenate([self.table[states], others])
+        else:
+            rows = self.table[[ord(c) for c in seqs.DNA_STATES]]
+        missing = self.table[[ord(c) for c in seqs.MISSING]].sum(axis=0)
+        return (rows > 0).sum(axis=0), (rows >= 2).sum(axis=0), missing, self.table.sum(axis=0) + others.sum(axis=0)
+
+
+def _partial(batches: Iterator[pa.RecordBatch], width: int, few: int, most: int) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple[str | None, int], list[str]] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for (locus, block), pieces in held.items():
+            if len(pieces) < few:
+                rows += [(locus, block, p, None, None, None) for p in pieces]
+                continue
+            c = Counts()
+            for p in pieces:
+                c.add(p)
+            rows.append((locus, block, None, *c.packed()))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_PART), _PART)], schema=_PART)
+
+    for b in batches:
+        for locus, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i in range(0, len(seq), width):
+                held.setdefault((locus, i // width), []).append(seq[i : i + width])
+            size += len(seq)
+            if size > most:
+                yield flush()
+                size = 0
+    yield flush()
+
+
+def _whole(batches: Iterator[pa.RecordBatch], datatype: str, block_width: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by locus and block."""
+    key, counts = None, Counts()
+
+    def done() -> pa.RecordBatch:
+        cols = counts.sites(datatype)
+        n = len(cols[0])
+        pos = np.arange(n, dtype=np.int32) + key[1] * block_width
+        arrays = [pa.array([key[0]] * n, pa.string()), pa.array(pos.astype(np.int32)), *(pa.array(c.astype(t)) for c, t in zip(cols, (np.int32, np.int32, np.int64, np.int64)))]
+        return pa.RecordBatch.from_arrays(arrays, schema=_SITE)
+
+    for b in batches:
+        for locus, block, piece, codes, width, packed in zip(*(c.to_pylist() for c in b.columns)):
+            if key != (locus, block):
+                if key is not None:
+                    yield done()
+                key, counts = (locus, block), Counts()
+            if piece is not None:
+                counts.add(piece)
+            else:
+                counts.add_packed(codes, width, packed)
+    if key is not None:
+        yield done()
+
+
+def site_states(aln: DataFrame, datatype: str = "dna", fold_case: bool = False, block: int = BLOCK, few: int = FEW, held: int = HELD) -> DataFrame:
+    """locus, pos (from 0), n_states, n_twice, n_missing, n_rows for every site: how many states it has, how many of them at least twice.
+
+    States are case-sensitive unless fold_case; ambiguous symbols are none ('ignore' is treated as 'dna'). Null sequences have no sites;
+    a position behind the end of a shorter sequence is not counted for it.
+    """
+    rows = aln.filter("seq is not null").select(F.col("locus").cast("string"), F.upper("seq").alias("seq") if fold_case else F.col("seq"))
+    parts = rows.mapInArrow(lambda batches: _partial(batches, block, few, held), _PART_DDL).repartition("locus", "block").sortWithinPartitions("locus", "block")
+    return parts.mapInArrow(lambda batches: _whole(batches, datatype, block), _SITE_DDL)
+
 
 def site_rows(aln: DataFrame) -> DataFrame:
     """locus, pos (from 0), base: one row for each character."""
     return aln.select("locus", F.posexplode(F.split("seq", "")).alias("pos", "base")).filter("base <> ''")
 
 
-def site_states(aln: DataFrame, datatype: str = "dna", fold_case: bool = False) -> DataFrame:
-    """locus, pos, n_states, n_twice, n_missing, n_rows for every site: how many states it has, how many of them at least twice.
-
-    States are case-sensitive unless fold_case; ambiguous symbols are none ('ignore' is treated as 'dna').
-    """
-    rows = site_rows(aln)
-    if fold_case:
-        rows = rows.withColumn("base", F.upper("base"))
-    missing = F.count_if(F.col("base").isin(*seqs.MISSING)).alias("n_missing")
-    if datatype != "aa":  # eight known states: one aggregation
-        counts = rows.groupBy("locus", "pos").agg(*[F.count_if(F.col("base") == c).alias(f"n{i}") for i, c in enumerate(seqs.DNA_STATES)], missing, F.count("*").alias("n_rows"))
-        at_least = lambda n: sum((F.when(F.col(f"n{i}") >= n, 1).otherwise(0) for i in range(1, len(seqs.DNA_STATES))), F.when(F.col("n0") >= n, 1).otherwise(0))
-        return counts.select("locus", "pos", at_least(1).alias("n_states"), at_least(2).alias("n_twice"), "n_missing", "n_rows")
-    by_base = rows.groupBy("locus", "pos", "base").agg(F.count("*").alias("n"))
-    state = ~F.col("base").isin(*seqs.AA_AMBIGUOUS)
+def site_states_sql(aln: DataFrame, datatype: str = "dna") -> DataFrame:
+    """As `site_states`, from one row for each character."""
+    by_base = site_rows(aln).groupBy("locus", "pos", "base").agg(F.count("*").alias("n"))
+    state = ~F.col("base").isin(*seqs.AA_AMBIGUOUS) if datatype == "aa" else F.col("base").isin(*seqs.DNA_STATES)
     return by_base.groupBy("locus", "pos").agg(
         F.count_if(state).cast("int").alias("n_states"),
         F.count_if(state & (F.col("n") >= 2)).cast("int").alias("n_twice"),
@@ -61,6 +191,5 @@ def site_pinf_counts(aln: DataFrame, datatype: str = "dna") -> DataFrame:
 
 def site_missing(aln: DataFrame) -> DataFrame:
     """locus, pos, prop_missing: the share of the locus' sequences that have no data at the site."""
-    counts = site_rows(aln).groupBy("locus", "pos").agg(F.count_if(F.col("base").isin(*seqs.MISSING)).alias("n_missing"))
     ntax = aln.groupBy("locus").agg(F.count("*").alias("ntax"))
-    return counts.join(ntax, "locus").select("locus", "pos", (F.col("n_missing") / F.col("ntax")).alias("prop_missing"))
+    return site_states(aln).join(ntax, "locus").select("locus", "pos", (F.col("n_missing") / F.col("ntax")).alias("prop_missing"))
