@@ -61,8 +61,11 @@ class TermCounts:
     def _write(self, kind: str, df: DataFrame, touched: list[int]) -> None:
         v = self.state["next"]
         out = f"{self.path}/{kind}/v={v}"
-        # one sorted write by bucket; a bucket is spread over several tasks by its terms' hashes, whatever its size
-        df.withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(out)
+        # A bucket's rows go to few tasks, so that it has few files, but to several, as it may be large: by the hash of all keys.
+        tasks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.state["buckets"])
+        keys = [c for c in ("field", "term", "record") if c in df.columns]
+        spread = F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(tasks))
+        df.withColumn("_bucket", self._bucket()).repartition(F.col("_bucket"), spread).write.partitionBy("_bucket").parquet(out)
         jvm_fs, p = self.spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
         for b in touched:
             if jvm_fs.exists(p(f"{out}/_bucket={b}")):

@@ -52,3 +52,10 @@ def test_draw_is_random_but_fixed(spark):
     one = lambda seed: {r.record for r in mix(df.repartition(3), "doc", "src", "tokens", t, seed=seed)[0].collect() if r.source == "a"}
     first = one(0)
     assert first == one(0) and first != one(1) and len(first) == 100 and 30 < sum(i < 250 for i in first) < 70
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", 5, 1, "x") for i in range(40)], "doc long, src string, tokens int, budget int, source string")
+    t = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    draws, _ = mix(df, "doc", "src", "tokens", t)
+    assert draws.count() == 40

@@ -32,8 +32,9 @@ def test_plan(case):
     assert all(b and sum(b) <= capacity for b in boxes)
     assert all(sum(3 * s > capacity for s in b) <= 2 for b in boxes)
     assert sum(map(len, boxes)) == sum(counts.values())
-    least = -(-sum(s * n for s, n in counts.items()) // capacity)
-    assert len(boxes) <= max(least * 1.7 + 1, 1)
+    # no packing needs fewer: the total size; items above a half are alone; those above a third at most two
+    least = max(-(-sum(s * n for s, n in counts.items()) // capacity), sum(n for s, n in counts.items() if 2 * s > capacity), -(-sum(n for s, n in counts.items() if 3 * s > capacity) // 2))
+    assert least <= len(boxes) <= least * 1.5 + 1
 
 
 def test_little_is_left_free():
