@@ -92,6 +92,22 @@ def read_summary(reads: DataFrame) -> DataFrame:
     return out.drop("_qn", "_qs")
 
 
+def quality_histogram(reads: DataFrame) -> DataFrame:
+    """path, q, n: how often each quality occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column(0).dictionary_encode(null_encoding="encode")
+            of, n = paths.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(paths.dictionary)
+            quals, sizes = _bytes(b.column(1))
+            counts = np.bincount(np.repeat(of, sizes) * 256 + _quality(quals) + 128, minlength=n * 256)
+            at = np.flatnonzero(counts)
+            path = paths.dictionary.cast(pa.string()).take(pa.array(at // 256))
+            yield pa.RecordBatch.from_arrays([path, pa.array((at % 256 - 128).astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["path", "q", "n"])
+
+    return reads.filter("qual <> ''").select("path", "qual").mapInArrow(run, "path string, q int, n bigint").groupBy("path", "q").agg(F.sum("n").alias("n"))
+
+
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums by path and position of each batch of reads, for the positions that any of its reads of the path has."""
     for b in batches:

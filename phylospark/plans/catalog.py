@@ -312,3 +312,14 @@ _BLOCK = "with b as (select p_partkey as block_idx, p_partkey * 10 as start, tra
 add("maf_explode", lambda s, d: genomics.maf_rows(blocks(s, d)), _BLOCK + "select 'part.maf' as path, block_idx, 'ref.chr1' as name, seq_idx, taxon, seq from r")
 add("maf_bed_names", lambda s, d: genomics.maf_named(blocks(s, d), block_bed(s, d)), _BLOCK + """, j as (select r.*, s_name is null as is_missing, replace(coalesce(s_name || '-chr1-' || start || '-' || (start + 32), 'ref.chr1'), '.', '_') as locus from r left join supplier on s_suppkey * 10 = start)
 select locus, taxon, is_missing, arg_max(block_idx, (block_idx, seq_idx)) as block_idx, arg_max(seq, (block_idx, seq_idx)) as seq from j group by locus, taxon, is_missing""")
+
+# --- smaller pieces
+
+add("natural_order", lambda s, d: align.partitions(alignments(s, d)).select("part_idx", "gene"), _ANY + _PARTS + "select part_idx, gene from parts")
+add("sequence_chunks", lambda s, d: dna(s, d).select("locus", "taxon", F.posexplode(seqs.chunks(F.col("seq"), 80)).alias("chunk_no", "chunk")), _DNA + "select locus, taxon, i as chunk_no, substr(seq, (i * 80 + 1)::int, 80) as chunk from aln, unnest(range(0, (length(seq) + 79) // 80)) as u(i)")
+add("file_stems", lambda s, d: table(s, d, "sequences").select("path", seqs.file_stem(F.col("path")).alias("stem")).distinct(), "select distinct path, regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) as stem from sequences")
+add("partition_codons", lambda s, d: align.codon_positions(table(s, d, "partitions").filter("part_start is not null and part_end is not null").select("row_id", "gene", F.col("part_start").alias("start"), F.col("part_end").alias("end"))), 'select row_id, gene, part_start + c - 1 as start, part_end as "end", c as codon_pos from partitions, unnest([1, 2, 3]) as u(c) where part_start is not null and part_end is not null')
+add("qscore_histogram", lambda s, d: genomics.quality_histogram(reads(s, d)), "with x as (select path, ascii(qual[i]) - 33 as q from reads, unnest(range(1, length(qual) + 1)) as u(i)) select path, q, count(*) as n from x group by all")
+add("maf_bed_appended", lambda s, d: genomics.maf_named(blocks(s, d), block_bed(s, d), append=True), _BLOCK + """, j as (select r.*, s_name is null as is_missing, replace(coalesce(s_name || '-chr1-' || start || '-' || (start + 32), 'ref.chr1'), '.', '_') as locus from r left join supplier on s_suppkey * 10 = start)
+select locus, taxon, is_missing, string_agg(seq, '' order by block_idx, seq_idx) as seq from j group by locus, taxon, is_missing""")
+add("contig_medians", lambda s, d: genomics.medians(_lengths(s, d)), _CONTIG + " select path, median(len) as len_median from ln group by path")
