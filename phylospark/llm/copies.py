@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.functions.ids import id_words
-from phylospark.runtime import materialize
+from phylospark.operators.bitmaps import may_hold
+from phylospark.runtime import is_small, materialize
 
 PRIME = 4611686018427387847  # the largest below 2^62: two remainders never overflow 64 bits
 SEEDS = (0x9E3779B9, 0x85EBCA6B)
@@ -84,12 +85,17 @@ def copies(df: DataFrame, id_col: str, fields: dict[str, str], singles: bool = F
     hot = found.filter(F.col("n_rows") > hot_rows).select(*hashes, F.col("first_id").alias("_hot_first"))
     fs = [f"f_{n}" for n in fields]
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    if is_small(many):
+        many = F.broadcast(many)  # only rows with copies are shuffled at all
+    else:  # nor are most of the others: a bitmap of fixed size tells rows that surely have no copy
+        rows = rows.filter(may_hold(many, "h1")(F.col("h1")))
     if hot.isEmpty():
         dups = rows.join(many, hashes).withColumn("_hot", F.lit(False))
     else:  # a hot group holds more than hot_rows rows of the table, so these are few whatever its size; their rows take no part in the shuffle by group
         flagged = rows.join(F.broadcast(hot), hashes, "left")
         cold = flagged.filter("_hot_first is null").drop("_hot_first").join(many, hashes).withColumn("_hot", F.lit(False))
         dups = cold.unionByName(flagged.filter("_hot_first is not null").withColumnRenamed("_hot_first", "first_id").withColumn("_hot", F.lit(True)))
+    dups = materialize(dups, "dups")
     # A row goes to its group's first row; the first row of a hot group goes to SALTS partitions, over which the group's rows are spread.
     heads = dups.filter("row_id = first_id").select(*hashes, F.explode(F.when(F.col("_hot"), salts).otherwise(F.array(F.lit(0)))).alias("_salt"), *[F.col(f).alias(f"o_{f}") for f in fs])
     rest = dups.filter("row_id <> first_id").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).otherwise(0).cast("int"))

@@ -31,13 +31,15 @@ def rows():
     return out + [(1000 + i, "L1", "Aus bus", "ACGT", "x") for i in range(200)]
 
 
-def test_copies(spark):
+def test_copies(spark, monkeypatch):
     data = rows()
     df = spark.createDataFrame(data, "row_id long, locus string, taxon string, seq string, h1 string").repartition(4)
     want, firsts = expected(data)
     for hot in (100_000, 20):
         got = [tuple(r) for r in C.copies(df, "row_id", FIELDS, hot_rows=hot).select("first_id", "copy_id").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(C, "is_small", lambda df: False)  # the way for more groups than are sent to all
+    assert {tuple(r) for r in C.copies(df, "row_id", FIELDS, hot_rows=20).select("first_id", "copy_id").collect()} == want
     n = {r.first_id: r.n_copies for r in C.groups(df, "row_id", FIELDS).collect()}
     assert set(n) == firsts and sum(n.values()) == len(firsts) + len(want)
     assert C.copies(df.limit(0), "row_id", FIELDS).count() == 0
