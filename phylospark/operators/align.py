@@ -5,8 +5,11 @@ Locus-level decisions are small tables keyed by locus; the sequences meet them i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -15,6 +18,7 @@ from pyspark.sql.window import Window
 from phylospark.functions import seqs
 from phylospark.operators import sites, stats
 from phylospark.operators.ranges import running_sum
+from phylospark.runtime import is_small
 
 
 class NothingLeft(ValueError):
@@ -159,14 +163,37 @@ def concat(aln: DataFrame) -> DataFrame:
 def split(aln: DataFrame, parts: DataFrame, prefix: str | None = None) -> DataFrame:
     """locus, seq_idx, taxon, seq: the stretch of each part (gene, start, end) of each sequence; those without any data are dropped.
 
-    The parts are a partition table; they are joined to the sequences as one array, so that no two rows meet by chance. A part beyond a sequence raises.
+    The parts are a partition table, which describes one alignment; its size is checked before it is sent to all executors. Each
+    sequence is cut in one pass, whatever the number of parts. A part beyond a sequence raises.
     """
-    every = parts.agg(F.sort_array(F.collect_list(F.struct("part_idx", "gene", "start", "end"))).alias("_parts"))  # a partition table describes one alignment
-    rows = aln.crossJoin(F.broadcast(every)).select("taxon", "seq_idx", "seq", F.explode("_parts").alias("p"))
-    beyond = (F.col("p.end") > F.length("seq")) | (F.col("p.start") < 1)
-    piece = F.when(beyond, F.raise_error(F.concat(F.lit("a part beyond the alignment: "), F.col("p.gene")))).otherwise(F.substring(F.col("seq"), F.col("p.start").cast("int"), (F.col("p.end") - F.col("p.start") + 1).cast("int")))
-    name = F.concat(F.lit(prefix + "_"), F.col("p.gene")) if prefix else F.col("p.gene")
-    return rows.select(name.alias("locus"), "seq_idx", "taxon", piece.alias("seq")).filter(~seqs.all_missing(F.col("seq")))
+    if not is_small(parts):
+        raise ValueError("more parts than an alignment's partition table may have")
+    rows = [(f"{prefix}_{r.gene}" if prefix else r.gene, r.start, r.end) for r in parts.orderBy("part_idx").select("gene", "start", "end").collect()]
+    known = aln.sparkSession.sparkContext.broadcast(rows)
+    schema = pa.schema([("locus", pa.string()), ("seq_idx", pa.int32()), ("taxon", pa.string()), ("seq", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = zip(*out) if out else [[]] * len(schema)
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+            out.clear()
+            return made
+
+        for b in batches:
+            for idx, taxon, seq in zip(*(c.to_pylist() for c in b.columns)):
+                for gene, start, end in known.value:
+                    if start < 1 or end > len(seq):
+                        raise ValueError(f"a part beyond the alignment: {gene}")
+                    piece = seq[start - 1 : end]
+                    if piece.strip(seqs.MISSING):
+                        out.append((gene, idx, taxon, piece))
+                if len(out) > 10_000:
+                    yield flush()
+        yield flush()
+
+    return aln.filter("seq is not null").select(F.col("seq_idx").cast("int"), "taxon", "seq").mapInArrow(cut, "locus string, seq_idx int, taxon string, seq string")
 
 
 # --- trimming
