@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phylospark.llm import copies, mixing, packing, quantiles, terms, truncation
 from phylospark.llm.tokens import token_count
-from phylospark.runtime import materialize, scratch_path
+from phylospark.runtime import is_small, materialize, scratch_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -151,7 +151,10 @@ def _sized(spark: SparkSession, folder: str) -> DataFrame:
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     sized = _sized(spark, folder)
     # pack_sizes is a table of settings: a packing for each of its few rows, each over all documents
-    packs = [(r.pack_name, r.capacity_tokens) for r in table(spark, folder, "pack_sizes").limit(1000).collect()]
+    sizes = table(spark, folder, "pack_sizes").filter("pack_name is not null and capacity_tokens > 0").distinct()
+    if not is_small(sizes, 1000):
+        raise ValueError("more than 1000 container sizes")
+    packs = sorted((r.pack_name, r.capacity_tokens) for r in sizes.collect())
     made = [packing.pack(sized, "doc_id", "tokens", cap).select(F.lit(name).alias("pack_name"), F.lit(cap).alias("capacity"), "container_id", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens")) for name, cap in packs]
     return reduce(DataFrame.unionByName, made)
 
