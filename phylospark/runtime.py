@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that is not yet used, deleted when Python ends."""
+    """A path in the shared folder that is not yet used, deleted by `clean`."""
     path = f"{shared_dir(spark)}/phylospark/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
@@ -72,7 +72,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
-def _clean() -> None:
+def clean() -> None:
+    """Delete the tables that `materialize` wrote. Frames that read them end with it, so call it between jobs of a long session; it runs when Python ends."""
     for spark, path in _written:
         try:
             fs, p = filesystem(spark, path)
@@ -82,7 +83,7 @@ def _clean() -> None:
     _written.clear()
 
 
-atexit.register(_clean)
+atexit.register(clean)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
