@@ -51,7 +51,7 @@ ty as (select locus, bool_and(regexp_full_match(seq, '[?ACGTRYSWKMBDHVNacgtryswk
 """
 _DNA = _ALL + "aln as (select * from al where locus in (select locus from ty where dna))\n"
 _AA = _ALL + "aln as (select * from al where locus in (select locus from ty where not dna))\n"
-_SITE = ", site as (select locus, i - 1 as pos, substr(seq, i, 1) as base from aln, unnest(range(1, length(seq) + 1)) as u(i))\n"
+_SITE = ", site as (select locus, cast(i - 1 as int) as pos, substr(seq, i, 1) as base from aln, unnest(range(1, length(seq) + 1)) as u(i))\n"
 _DNA_STATE = "base in ('A', 'C', 'G', 'T', 'a', 'c', 'g', 't')"
 _AA_STATE = "base not in ('X', 'B', 'Z', 'J', 'U', '?', '-', '.', '~', '*')"
 _HEAD = ", head as (select locus, count(*) as ntax, max(length(seq)) as nchar, max(length(seq)) = min(length(seq)) as aligned from aln group by locus)\n"
@@ -59,7 +59,7 @@ _HEAD = ", head as (select locus, count(*) as ntax, max(length(seq)) as nchar, m
 
 def _sites_sql(state: str) -> str:
     return _SITE + f""", cnt as (select locus, pos, base, count(*) as n from site where {state} group by all),
-st as (select locus, pos, count(*) as n_states, count(*) filter (n >= 2) as n_twice from cnt group by all),
+st as (select locus, pos, count(*) as n_states, cast(count(*) filter (n >= 2) as int) as n_twice from cnt group by all),
 ls as (select s.locus, count(st.pos) as site_count, count(*) filter (n_states = 1) as conserved, count(*) filter (n_states > 1) as variable, count(*) filter (n_states > 1 and n_twice >= 2) as pars_inf
   from (select distinct locus from aln) s left join st on st.locus = s.locus group by s.locus),
 lp as (select *, conserved / nullif(site_count, 0)::double as prop_cons, variable / nullif(site_count, 0)::double as prop_var, pars_inf / nullif(site_count, 0)::double as prop_pinf from ls)
@@ -115,7 +115,7 @@ add("dataset_char_summary", lambda s, d: stats.dataset_char_summary(stats.locus_
 add("char_histogram", lambda s, d: stats.char_histogram(alignments(s, d)), _ALL + "aln as (select * from al)" + _SITE + "select locus, upper(base) as symbol, count(*) as n from site group by all")
 _COMPLETE = _DNA + _HEAD + """, tot as (select count(distinct taxon) as n from aln), p as (select unnest(range(100, -1, -{0})) as percent),
 c as (select percent, count(*) filter (ntax >= floor(tot.n * (percent / 100.0::double))) as n_loci, count(*) as loci from head, tot, p group by percent)
-select percent, n_loci from c where percent >= (select max(percent) from c where n_loci = loci)"""
+select cast(percent as int) as percent, n_loci from c where percent >= (select max(percent) from c where n_loci = loci)"""
 for _step in (5, 10):
     add(f"matrix_completeness_{_step}", lambda s, d, k=_step: stats.matrix_completeness(stats.headers(dna(s, d)), stats.unique_ids(dna(s, d)).agg(F.count("*").alias("total_taxa")), k), _COMPLETE.format(_step))
 add("unique_ids", lambda s, d: stats.unique_ids(alignments(s, d)), _ALL + "aln as (select * from al) select distinct taxon from aln")
@@ -166,7 +166,7 @@ add("trim_missing", lambda s, d: align.trim_missing(dna(s, d), 0.05).select("loc
 add("trim_pinf", lambda s, d: align.trim_pinf(dna(s, d), 2).select("locus", "taxon", "seq"), _PINF + _PICK.format("(select * from st where n_twice >= 2)") + _CUT)
 add("trim_summary", lambda s, d: align.trim_summary(dna(s, d), align.trim_pinf(dna(s, d), 2)), _PINF + _HEAD + ", k as (select locus, count(*) as n from st where n_twice >= 2 group by locus) select head.locus, ntax, nchar as before, coalesce(n, 0) as after, nchar - coalesce(n, 0) as removed from head left join k on k.locus = head.locus")
 add("unalign", lambda s, d: align.unalign(alignments(s, d)), _ALL + "aln as (select * from al) select locus, taxon, seq_idx, path, translate(seq, '-?', '') as seq from aln")
-add("convert_sorted", lambda s, d: align.sort_by_id(alignments(s, d)), _ALL + "aln as (select * from al) select locus, taxon, path, seq, row_number() over (partition by locus order by taxon) - 1 as seq_idx from aln")
+add("convert_sorted", lambda s, d: align.sort_by_id(alignments(s, d)), _ALL + "aln as (select * from al) select locus, taxon, path, seq, cast(row_number() over (partition by locus order by taxon) - 1 as int) as seq_idx from aln")
 add("alphabet_validation", lambda s, d: align.violations(protein(s, d), "aa").select("locus", "taxon"), _AA + "select locus, taxon from aln where not regexp_full_match(seq, '[?ARNDCQEGHILKMFPSTWYVXBZJU*.~-]*')")
 add("partition_contiguity", lambda s, d: align.contiguity(table(s, d, "partitions").select("aln_path", "row_id", "part_idx", "gene", F.col("part_start").alias("start"), F.col("part_end").alias("end")), ["aln_path"], ["row_id"]).select("row_id", "aln_path", "expected"),
     "with p as (select *, coalesce(lag(part_end) over (partition by aln_path order by part_idx nulls first, part_start nulls first, part_end nulls first, row_id) + 1, 1) as expected from partitions) select row_id, aln_path, expected from p where part_start is distinct from expected")
@@ -287,12 +287,12 @@ add("read_summary_minimal", lambda s, d: genomics.read_counts(reads(s, d)), "sel
 _QUAL = "list_transform(range(1, length(qual) + 1), lambda i: ascii(qual[i]) - 33)"
 add("read_summary_default", lambda s, d: genomics.read_summary(reads(s, d)), f"""with r as (select path, seq, {_QUAL} as q from reads),
 b as (select path, count(*) as read_count, cast(sum(length(seq)) as bigint) as base_count, min(length(seq)) as min_read_len, max(length(seq)) as max_read_len, {_CB},
-  cast(sum(list_sum(q)) as bigint) as qs, cast(sum(len(q)) as bigint) as qn, cast(sum(len(list_filter(q, lambda x: x < 20))) as bigint) as low_qscore, min(list_min(q)) as min_qscore, max(list_max(q)) as max_qscore from r group by path)
+  cast(sum(list_sum(q)) as bigint) as qs, cast(sum(len(q)) as bigint) as qn, cast(sum(len(list_filter(q, lambda x: x < 20))) as bigint) as low_qscore, cast(min(list_min(q)) as bigint) as min_qscore, cast(max(list_max(q)) as bigint) as max_qscore from r group by path)
 select * exclude (qs, qn), base_count / read_count::double as mean_read_len, g_count + c_count as gc_count, a_count + t_count as at_count, (g_count + c_count) / nullif(base_count, 0)::double as gc_content, (a_count + t_count) / nullif(base_count, 0)::double as at_content, n_count / nullif(base_count, 0)::double as n_content, qs / nullif(qn, 0)::double as mean_qscore from b""")
-add("read_position_stats", lambda s, d: genomics.read_positions(reads(s, d)), """with x as (select path, i as pos, upper(seq[i]) as b, case when i <= length(qual) then ascii(qual[i]) - 33 end as q from reads, unnest(range(1, length(seq) + 1)) as u(i) where seq is not null),
-g as (select path, pos, count(*) filter (b = 'G') as g_count, count(*) filter (b = 'C') as c_count, count(*) filter (b = 'A') as a_count, count(*) filter (b = 'T') as t_count, sum(q) / nullif(count(q), 0)::double as mean_qscore, min(q) as min_qscore, max(q) as max_qscore from x group by all)
+add("read_position_stats", lambda s, d: genomics.read_positions(reads(s, d)), """with x as (select path, cast(i as int) as pos, upper(seq[i]) as b, case when i <= length(qual) then ascii(qual[i]) - 33 end as q from reads, unnest(range(1, length(seq) + 1)) as u(i) where seq is not null),
+g as (select path, pos, count(*) filter (b = 'G') as g_count, count(*) filter (b = 'C') as c_count, count(*) filter (b = 'A') as a_count, count(*) filter (b = 'T') as t_count, sum(q) / nullif(count(q), 0)::double as mean_qscore, cast(min(q) as bigint) as min_qscore, cast(max(q) as bigint) as max_qscore from x group by all)
 select *, g_count / nullif(g_count + c_count + a_count + t_count, 0)::double as g_prop, c_count / nullif(g_count + c_count + a_count + t_count, 0)::double as c_prop, a_count / nullif(g_count + c_count + a_count + t_count, 0)::double as a_prop, t_count / nullif(g_count + c_count + a_count + t_count, 0)::double as t_prop from g""")
-add("qscore_low", lambda s, d: genomics.read_summary(reads(s, d)).select("path", "low_qscore", "min_qscore", "max_qscore"), f"with r as (select path, {_QUAL} as q from reads) select path, cast(sum(len(list_filter(q, lambda x: x < 20))) as bigint) as low_qscore, min(list_min(q)) as min_qscore, max(list_max(q)) as max_qscore from r group by path")
+add("qscore_low", lambda s, d: genomics.read_summary(reads(s, d)).select("path", "low_qscore", "min_qscore", "max_qscore"), f"with r as (select path, {_QUAL} as q from reads) select path, cast(sum(len(list_filter(q, lambda x: x < 20))) as bigint) as low_qscore, cast(min(list_min(q)) as bigint) as min_qscore, cast(max(list_max(q)) as bigint) as max_qscore from r group by path")
 
 # --- blocks: one for each part, with a reference row that starts at ten times its key and a row for the part's name
 
@@ -316,7 +316,7 @@ select locus, taxon, is_missing, arg_max(block_idx, (block_idx, seq_idx)) as blo
 # --- smaller pieces
 
 add("natural_order", lambda s, d: align.partitions(alignments(s, d)).select("part_idx", "gene"), _ANY + _PARTS + "select part_idx, gene from parts")
-add("sequence_chunks", lambda s, d: dna(s, d).select("locus", "taxon", F.posexplode(seqs.chunks(F.col("seq"), 80)).alias("chunk_no", "chunk")), _DNA + "select locus, taxon, i as chunk_no, substr(seq, (i * 80 + 1)::int, 80) as chunk from aln, unnest(range(0, (length(seq) + 79) // 80)) as u(i)")
+add("sequence_chunks", lambda s, d: dna(s, d).select("locus", "taxon", F.posexplode(seqs.chunks(F.col("seq"), 80)).alias("chunk_no", "chunk")), _DNA + "select locus, taxon, cast(i as int) as chunk_no, substr(seq, (i * 80 + 1)::int, 80) as chunk from aln, unnest(range(0, (length(seq) + 79) // 80)) as u(i)")
 add("file_stems", lambda s, d: table(s, d, "sequences").select("path", seqs.file_stem(F.col("path")).alias("stem")).distinct(), "select distinct path, regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) as stem from sequences")
 add("partition_codons", lambda s, d: align.codon_positions(table(s, d, "partitions").filter("part_start is not null and part_end is not null").select("row_id", "gene", F.col("part_start").alias("start"), F.col("part_end").alias("end"))), 'select row_id, gene, part_start + c - 1 as start, part_end as "end", c as codon_pos from partitions, unnest([1, 2, 3]) as u(c) where part_start is not null and part_end is not null')
 add("qscore_histogram", lambda s, d: genomics.quality_histogram(reads(s, d)), "with x as (select path, ascii(qual[i]) - 33 as q from reads, unnest(range(1, length(qual) + 1)) as u(i)) select path, q, count(*) as n from x group by all")
