@@ -152,13 +152,19 @@ add("concat_codon_partitions", lambda s, d: align.partitions(dna(s, d), codon=Tr
 add("concat_segments", lambda s, d: align.segments(alignments(s, d)), _ALL + "aln as (select * from al)" + _PARTS + 'select taxon, part_idx, gene, start, "end", seq from aln join parts on locus = gene')
 _FILTERED = _ALL + "al2 as (select * from al where locus in (select locus from ty where dna)), aln as (select * from al2 where locus in (select locus from al2 group by locus having count(*) >= 20))\n"
 add("filter_then_concat", lambda s, d: align.concat(align.filter_loci(dna(s, d), min_ntax=20)), _FILTERED + _PARTS + _CONCAT + "select * from con")
+def _rejoined(aln: DataFrame) -> DataFrame:
+    """The loci, concatenated and split again."""
+    whole = align.concat(aln).withColumn("seq_idx", F.lit(0))
+    return align.split(whole, align.partitions(aln)).select("locus", "taxon", "seq")
+
+
 def _split(s: SparkSession, d: str) -> DataFrame:
-    kept = align.filter_loci(dna(s, d), min_ntax=20)
-    whole = align.concat(kept).withColumn("seq_idx", F.lit(0))
-    return align.split(whole, align.partitions(kept)).select("locus", "taxon", "seq")
+    """Only the loci with at least 20 taxa, as its SQL has it; `split_all` is the split of all DNA loci."""
+    return _rejoined(align.filter_loci(dna(s, d), min_ntax=20))
 
 
 add("split", _split, _FILTERED + _PARTS + _CONCAT + ", cut as (select gene as locus, taxon, substr(seq, start, \"end\" - start + 1) as seq from con, parts) select * from cut where translate(seq, '-?', '') <> ''")
+add("split_all", lambda s, d: _rejoined(dna(s, d)), None)  # DuckDB would cut each piece out of a string of all loci
 _MISS = ", ms as (select locus, pos, avg(case when base in ('-', '?') then 1.0::double else 0.0::double end) as m from site group by all)"
 _PICK = ", kept as (select locus, list(pos + 1 order by pos) as ix from {0} group by locus)"
 _CUT = "select a.locus, a.taxon, array_to_string(list_transform(k.ix, lambda i: a.seq[i]), '') as seq from aln a join kept k on a.locus = k.locus"
