@@ -5,7 +5,7 @@ Locus-level decisions are small tables keyed by locus; the sequences meet them i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from phylospark.functions import seqs
 from phylospark.operators import sites, stats
 from phylospark.operators.ranges import running_sum
-from phylospark.runtime import is_small
+from phylospark.runtime import BROADCAST_ROWS, is_small, materialize
 
 
 class NothingLeft(ValueError):
@@ -159,41 +159,84 @@ def concat(aln: DataFrame) -> DataFrame:
 
 # --- splitting
 
+#: Parts of a block, and the columns of the pieces.
+BLOCK_PARTS = 1_000
+_PIECE = "locus string, seq_idx int, taxon string, seq string"
 
-def split(aln: DataFrame, parts: DataFrame, prefix: str | None = None) -> DataFrame:
+
+def split(aln: DataFrame, parts: DataFrame, prefix: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """locus, seq_idx, taxon, seq: the stretch of each part (gene, start, end) of each sequence; those without any data are dropped.
 
-    The parts are a partition table, which describes one alignment; its size is checked before it is sent to all executors. Each
-    sequence is cut in one pass, whatever the number of parts. A part beyond a sequence raises.
+    The parts are a partition table, which describes one alignment. It is sent to all executors if it has at most so many rows, and each
+    sequence is cut in one pass; a larger one is cut block by block. A part beyond a sequence raises.
     """
-    if not is_small(parts):
-        raise ValueError("more parts than an alignment's partition table may have")
-    rows = [(f"{prefix}_{r.gene}" if prefix else r.gene, r.start, r.end) for r in parts.orderBy("part_idx").select("gene", "start", "end").collect()]
-    known = aln.sparkSession.sparkContext.broadcast(rows)
-    schema = pa.schema([("locus", pa.string()), ("seq_idx", pa.int32()), ("taxon", pa.string()), ("seq", pa.string())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = aln.filter("seq is not null").select(F.col("seq_idx").cast("int"), "taxon", "seq")
+    named = parts.withColumn("gene", F.concat(F.lit(f"{prefix}_"), "gene")) if prefix else parts
+    if not is_small(parts, broadcast_rows):
+        return _split_blocks(rows, named)
+    known = aln.sparkSession.sparkContext.broadcast([tuple(r) for r in named.orderBy("part_idx").select("gene", "start", "end").collect()])
+
+    def pieces(idx: int, taxon: str, seq: str) -> Iterator[tuple]:
+        for gene, start, end in known.value:
+            if start < 1 or end > len(seq):
+                raise ValueError(f"a part beyond the alignment: {gene}")
+            piece = seq[start - 1 : end]
+            if piece.strip(seqs.MISSING):
+                yield gene, idx, taxon, piece
+
+    return _each(rows, pieces, _PIECE)
+
+
+def _split_blocks(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The split by any number of parts. They are numbered by start over ranges and put in blocks of BLOCK_PARTS; all executors get one row
+    a block, by which each sequence is cut into stretches, and a stretch meets only the parts of its block."""
+    one = parts.select("gene", "start", "end", F.lit(1).cast("bigint").alias("_one"))
+    numbered = running_sum(one, [], ["start", "end", "gene"], "_one", "_row", cut="split_parts").withColumn("block", F.floor((F.col("_row") - 1) / BLOCK_PARTS))
+    blocks = numbered.groupBy("block").agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.max_by("gene", "end").alias("last"), F.collect_list(F.struct("gene", "start", "end")).alias("parts"))
+    blocks = materialize(blocks, "split_blocks")
+    known = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in blocks.select("block", "lo", "hi", "last").collect()])
+
+    def stretches(idx: int, taxon: str, seq: str) -> Iterator[tuple]:
+        for block, lo, hi, last in known.value:
+            if lo < 1 or hi > len(seq):
+                raise ValueError(f"a part beyond the alignment: {last}")
+            stretch = seq[lo - 1 : hi]
+            if stretch.strip(seqs.MISSING):
+                yield block, lo, idx, taxon, stretch
+
+    def pieces(lo: int, idx: int, taxon: str, stretch: str, parts: list[dict]) -> Iterator[tuple]:
+        for p in parts:
+            piece = stretch[p["start"] - lo : max(p["end"] - lo + 1, 0)]
+            if piece.strip(seqs.MISSING):
+                yield p["gene"], idx, taxon, piece
+
+    met = _each(rows, stretches, "block long, lo long, seq_idx int, taxon string, seq string").join(blocks.select("block", "parts"), "block")
+    return _each(met.select("lo", "seq_idx", "taxon", "seq", "parts"), pieces, _PIECE)
+
+
+def _each(rows: DataFrame, made: Callable[..., Iterator[tuple]], ddl: str) -> DataFrame:
+    """The rows that a function makes of the columns of each row."""
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             cols = zip(*out) if out else [[]] * len(schema)
-            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
             out.clear()
-            return made
+            return batch
 
         for b in batches:
-            for idx, taxon, seq in zip(*(c.to_pylist() for c in b.columns)):
-                for gene, start, end in known.value:
-                    if start < 1 or end > len(seq):
-                        raise ValueError(f"a part beyond the alignment: {gene}")
-                    piece = seq[start - 1 : end]
-                    if piece.strip(seqs.MISSING):
-                        out.append((gene, idx, taxon, piece))
-                if len(out) > 10_000:
-                    yield flush()
+            for k in range(0, b.num_rows, 100):  # a row may hold a long sequence or many parts
+                for row in zip(*(c.to_pylist() for c in b.slice(k, 100).columns)):
+                    out.extend(made(*row))
+                    if len(out) > 10_000:
+                        yield flush()
         yield flush()
 
-    return aln.filter("seq is not null").select(F.col("seq_idx").cast("int"), "taxon", "seq").mapInArrow(cut, "locus string, seq_idx int, taxon string, seq string")
+    return rows.mapInArrow(run, ddl)
 
 
 # --- trimming

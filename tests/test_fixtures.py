@@ -115,6 +115,23 @@ def test_concat_and_split(spark):
     assert [(r.gene, r.expected) for r in align.contiguity(p).orderBy("start").collect()] == [("b", 6), ("c", 10)]
 
 
+def test_split_by_blocks(spark, monkeypatch):
+    """More parts than are sent to all executors, also overlapping ones: the same pieces."""
+    n = 200_001
+    seq = "".join("ACGT-?"[i % 6] for i in range(n))
+    df = frame(spark, whole=[("a", seq), ("b", "?" * (n - 1) + "G")])
+    parts = spark.range(n).select(F.col("id").alias("part_idx"), F.concat(F.lit("p"), "id").alias("gene"), (F.col("id") + 1).alias("start"), (F.col("id") + 1).alias("end"))
+    got = {(r.locus, r.seq_idx, r.taxon, r.seq) for r in align.split(df, parts).collect()}
+    assert got == {(f"p{i}", 0, "a", c) for i, c in enumerate(seq) if c not in "-?"} | {(f"p{n - 1}", 1, "b", "G")}
+    monkeypatch.setattr(align, "BLOCK_PARTS", 3)
+    df = frame(spark, whole=[("a", "ACG--TTGA?"), ("b", "????GATT??"), ("c", "----------")])
+    p = spark.createDataFrame([(i, f"g{i}", s, e) for i, (s, e) in enumerate([(1, 3), (4, 5), (2, 9), (6, 10), (1, 10), (10, 10), (5, 4), (3, 10), (8, 2)])], "part_idx int, gene string, start long, end long")
+    one, many = ([tuple(r) for r in align.split(df, p, "x", k).collect()] for k in (100, 2))
+    assert sorted(one) == sorted(many) and len(one) == 10
+    with pytest.raises(Exception, match="beyond"):
+        align.split(df, p.union(spark.createDataFrame([(9, "far", 2, 11)], p.schema)), broadcast_rows=2).collect()
+
+
 def test_trim(spark):
     df = frame(spark, **TRIM)
     for percent, n in ((0.4, 7), (0.6, 7), (0.75, 7), (0.8, 8), (1.0, 8)):
