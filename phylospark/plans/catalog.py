@@ -329,3 +329,23 @@ add("qscore_histogram", lambda s, d: genomics.quality_histogram(reads(s, d)), "w
 add("maf_bed_appended", lambda s, d: genomics.maf_named(blocks(s, d), block_bed(s, d), append=True), _BLOCK + """, j as (select r.*, s_name is null as is_missing, replace(coalesce(s_name || '-chr1-' || start || '-' || (start + 32), 'ref.chr1'), '.', '_') as locus from r left join supplier on s_suppkey * 10 = start)
 select locus, taxon, is_missing, string_agg(seq, '' order by block_idx, seq_idx) as seq from j group by locus, taxon, is_missing""")
 add("contig_medians", lambda s, d: genomics.medians(_lengths(s, d)), _CONTIG + " select path, median(len) as len_median from ln group by path")
+
+# --- over the protein loci: queries that do not depend on the data type, with the SQL of their DNA twins
+
+for _name, _query in {
+    "locus_header": stats.headers,
+    "filter_min_taxa": lambda a: align.keep_loci(a, align.loci_min_taxa(a, 20)),
+    "filter_percent_taxa": lambda a: align.loci_percent_taxa(a, [0.02]),
+    "filter_npercent": lambda a: align.loci_percent_taxa(a, _PERCENTS),
+    "filter_min_len": lambda a: align.keep_loci(a, align.loci_min_len(a, 90)),
+    "filter_max_len": lambda a: align.keep_loci(a, align.loci_max_len(a, 90)),
+    "filter_missing": lambda a: align.keep_loci(a, align.loci_max_missing(a, 0.06)),
+    "concat": align.concat,
+    "concat_partitions": align.partitions,
+    "trim_missing": lambda a: align.trim_missing(a, 0.05).select("locus", "taxon", "seq"),
+    "seq_filter_max_gap": lambda a: sequence.filter_max_gap(a, 0.05).drop("path"),
+    "seq_filter_min_len": lambda a: sequence.filter_min_length(a, 90).drop("path"),
+    "seq_filter_max_len": lambda a: sequence.filter_max_length(a, 90).drop("path"),
+    "sequence_chunks": lambda a: a.select("locus", "taxon", F.posexplode(seqs.chunks(F.col("seq"), 80)).alias("chunk_no", "chunk")),
+}.items():
+    add(f"{_name}_aa", lambda s, d, q=_query: q(protein(s, d)), _AA + SQL[_name].removeprefix(_DNA))
