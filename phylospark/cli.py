@@ -15,18 +15,20 @@ from pyspark.sql import functions as F
 from phylospark.functions import seqs
 from phylospark.functions.codes import DELTAS
 from phylospark.operators import align, genomics, sequence, stats
+from phylospark.runtime import qualified
 from phylospark.session import local_session
 from phylospark.sources import files, sinks
 
 log = logging.getLogger("phylospark")
 OUTPUTS = list(sinks.SEQUENCE_FORMATS)
+FASTA = ["fasta", "fasta-int"]
 PARTITIONS = sinks.PARTITION_FORMATS
 
 
 # --- arguments
 
 
-def _io(p: argparse.ArgumentParser, output: str, fmt: bool = True, out_fmt: bool = True) -> None:
+def _io(p: argparse.ArgumentParser, output: str, fmt: bool = True, out_fmt: bool = True, outputs: list[str] = OUTPUTS, first: str = "nexus", short: str = "-F") -> None:
     where = p.add_mutually_exclusive_group(required=True)
     where.add_argument("-d", "--dir", help="a folder with the input files")
     where.add_argument("-i", "--input", nargs="+", help="input files; wildcards are allowed")
@@ -37,7 +39,7 @@ def _io(p: argparse.ArgumentParser, output: str, fmt: bool = True, out_fmt: bool
         p.add_argument("-f", "--input-format", default="auto", choices=["auto", *files.ALIGNMENTS])
         p.add_argument("--datatype", default="dna", choices=["dna", "aa", "ignore"])
     if out_fmt:
-        p.add_argument("-F", "--output-format", default="nexus", choices=OUTPUTS)
+        p.add_argument(short, "--output-format", default=first, choices=outputs)
 
 
 def _concat(p: argparse.ArgumentParser) -> None:
@@ -54,18 +56,21 @@ def parser() -> argparse.ArgumentParser:
     g = groups.add_parser("read").add_subparsers(dest="command", required=True)
     p = g.add_parser("summary")
     _io(p, "Read-Summary", fmt=False, out_fmt=False)
+    p.add_argument("-f", "--input-format", default="auto", choices=["auto", "fastq", "gzip"])
     p.add_argument("--mode", default="default", choices=["minimal", "default", "complete"])
     p.add_argument("--prefix")
 
     g = groups.add_parser("contig").add_subparsers(dest="command", required=True)
     p = g.add_parser("summary")
     _io(p, "Contig-Summary", fmt=False, out_fmt=False)
+    p.add_argument("-f", "--input-format", default="auto", choices=["auto", "fasta", "gzip"])
     p.add_argument("--prefix")
 
     g = groups.add_parser("maf").add_subparsers(dest="command", required=True)
     p = g.add_parser("convert", aliases=["maf"])
-    _io(p, "Genomic-Convert", fmt=False)
-    p.add_argument("--reference", help="a BED file with the names")
+    _io(p, "Genomic-Convert", fmt=False, outputs=[f for f in OUTPUTS if not f.startswith("nexus")], first="fasta-int", short="-t")
+    p.add_argument("--reference", help="a file with the names")
+    p.add_argument("--from-bed", action="store_true", help="the names are in a BED file")
     p.add_argument("--append", action="store_true", help="put blocks of one name behind each other")
     p.add_argument("--by-chrom", action="store_true", help="match the chromosome as well as the start")
     p.add_argument("--prefix")
@@ -103,8 +108,7 @@ def parser() -> argparse.ArgumentParser:
     how.add_argument("--missing-data", type=float)
     how.add_argument("--pinf", type=int)
     p = g.add_parser("unalign")
-    _io(p, "Align-Unalign", out_fmt=False)
-    p.add_argument("-F", "--output-format", default="fasta", choices=["fasta", "fasta-int"])
+    _io(p, "Align-Unalign", outputs=FASTA, first="fasta")
 
     g = groups.add_parser("partition").add_subparsers(dest="command", required=True)
     p = g.add_parser("convert")
@@ -119,7 +123,7 @@ def parser() -> argparse.ArgumentParser:
 
     g = groups.add_parser("sequence").add_subparsers(dest="command", required=True)
     p = g.add_parser("add")
-    _io(p, "Sequence-Addition")
+    _io(p, "Sequence-Addition", outputs=FASTA, first="fasta-int")
     to = p.add_mutually_exclusive_group(required=True)
     to.add_argument("--to-dir")
     to.add_argument("--to-input", nargs="+")
@@ -197,7 +201,7 @@ def named(a: argparse.Namespace, name: str) -> str:
 
 
 def read_summary(spark: SparkSession, a: argparse.Namespace) -> list[str]:
-    reads = files.scan_fastq(spark, paths(spark, a, ["fastq"]))
+    reads = files.scan_fastq(spark, paths(spark, a, ["fastq"]), fmt=a.input_format)
     if a.mode == "minimal":
         return [sinks.write_csv(sinks.with_file_name(genomics.read_counts(reads)), named(a, "read-summary-minimal.csv"), sinks.READ_MINIMAL_COLUMNS, ["path"], a.force)]
     out = [sinks.write_csv(sinks.with_file_name(genomics.read_summary(reads)), named(a, "default-read-summary.csv"), sinks.READ_COLUMNS, ["path"], a.force)]
@@ -207,7 +211,7 @@ def read_summary(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 
 def contig_summary(spark: SparkSession, a: argparse.Namespace) -> list[str]:
-    found = genomics.contig_summary(files.scan_contigs(spark, paths(spark, a, ["contig"])))
+    found = genomics.contig_summary(files.scan_contigs(spark, paths(spark, a, ["contig"]), a.input_format))
     return [sinks.write_csv(sinks.with_file_name(found), named(a, "contig-summary.csv"), sinks.CONTIG_COLUMNS, ["path"], a.force)]
 
 
@@ -238,15 +242,27 @@ def align_convert(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     return save(a, align.sort_by_id(aln) if a.sort else aln)
 
 
+#: What the folder of filtered alignments is called by the criterion.
+SUFFIXES = {"percent": "{:g}p", "max_len": "{}bp", "min_len": "{}bp", "max_pinf": "{}pinf", "min_pinf": "{}pinf", "percent_inf": "{:g}percent_pinf", "taxon_all": "taxonID", "missing_data": "{:g}percent_missing", "min_ntax": "{}taxa"}
+
+
+def filter_folder(output: str, name: str, value: object) -> str:
+    share = round(100 * value, 9) if isinstance(value, float) else value
+    return f"{output}_{SUFFIXES[name].format(share)}"
+
+
 def align_filter(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """Alignments that are kept are copied as they are, unless they are put together."""
     aln = load(spark, a, aligned=True)
     ids = [r.item.strip() for r in files.scan_list(spark, a.taxon_id).collect() if r.item.strip()] if a.taxon_id else None
     given = {"percent": a.percent, "max_len": a.max_len, "min_len": a.min_len, "max_pinf": a.max_pinf, "min_pinf": a.min_pinf, "percent_inf": a.percent_inf, "taxon_all": ids, "missing_data": a.missing_data, "min_ntax": a.min_ntax}
-    runs = [(f"{a.output}_{round(p * 100)}p", {"percent": p}) for p in a.npercent] if a.npercent else [(a.output, given)]
+    first = [f for f in align.FILTERS if given.get(f) is not None][:1]
+    runs = [{"percent": p} for p in a.npercent] if a.npercent else [{f: given[f]} for f in first] or [{}]
     out = []
-    for folder, options in runs:
+    for options in runs:
         kept = align.not_empty(align.filter_loci(aln, kind(a), **options))
-        out += save_concat(a, kept, folder) if a.concat else save(a, kept, folder)
+        folder = filter_folder(a.output, *next(iter(options.items())))
+        out += save_concat(a, kept, folder) if a.concat else sinks.copy_files(kept, folder, a.force)
     return out
 
 
@@ -260,24 +276,7 @@ def align_split(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 def align_summary(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     aln = load(spark, a, aligned=True).cache()
     if a.per_locus:
-        rows = stats.per_locus_taxon(aln, kind(a))
-        cols = sinks.taxon_columns(kind(a), by_locus=True)
-        out, locus, held = [], None, []
-
-        def flush() -> None:
-            if held:
-                path = named(a, f"{locus}.csv")
-                sinks.write_file(path, sinks.csv_text(list(cols), held), a.force)
-                out.append(path)
-                held.clear()
-
-        for r in rows.orderBy("locus", "taxon").toLocalIterator():
-            if r.locus != locus:
-                flush()
-            locus = r.locus
-            held.append([r[c] for c in cols.values()])
-        flush()
-        return out
+        return sinks.write_csv_each(stats.per_locus_taxon(aln, kind(a)), "locus", lambda x: named(a, f"{x}.csv"), sinks.taxon_columns(kind(a), by_locus=True), ["taxon"], a.force)
     path = aln.groupBy("locus").agg(F.min("path").alias("path"))
     loci = stats.locus_summary(aln, kind(a)).join(path, "locus").withColumns({"gc_content": stats.ratio("gc", "total_chars"), "at_content": stats.ratio("at", "total_chars"), "_key": seqs.natural_key(F.col("locus"))}).cache()
     total = stats.unique_ids(aln).agg(F.count("*").alias("total_taxa"))
@@ -306,12 +305,12 @@ def align_unalign(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 
 def partition_convert(spark: SparkSession, a: argparse.Namespace) -> list[str]:
-    given = sorted(p for x in a.input for p in (glob.glob(x) or [x]))
+    given = [qualified(spark, p) for p in sorted(p for x in a.input for p in (glob.glob(x) or [x]))]
     out = []
-    parts = files.scan_partitions(spark, given, a.input_partition, not a.skip_checking)
     fmt = a.output_partition + "-codon" * a.codon
     for path in given:
-        rows = [(r.gene, r.start, r.end) for r in parts.filter(F.col("path").endswith(os.path.basename(path))).orderBy("part_idx").collect()]
+        parts = files.scan_partitions(spark, [path], a.input_partition, not a.skip_checking)
+        rows = [(r.gene, r.start, r.end) for r in parts.orderBy("part_idx").select("gene", "start", "end").toLocalIterator()]
         to = f"{a.output}/{os.path.splitext(os.path.basename(path))[0]}_partition.{'txt' if fmt.startswith('raxml') else 'nex'}"
         sinks.write_file(to, sinks.partition_text(rows, fmt, kind(a)), a.force)
         out.append(to)
@@ -320,7 +319,7 @@ def partition_convert(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 def sequence_add(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     source = load(spark, a)
-    if a.to_file:
+    if a.to_file and not a.to_dir and not a.to_input:
         return [sinks.write_one(sequence.add_single(source, a.include_filename), a.to_file, "fasta-int", a.datatype, a.force)]
     given = sorted(p for x in a.to_input for p in (glob.glob(x) or [x])) if a.to_input else None
     dest = files.scan_alignments(spark, files.input_paths(spark, files.ALIGNMENTS, a.to_dir, given), a.destination_format, a.datatype)
@@ -345,12 +344,14 @@ def sequence_filter(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 def sequence_id(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     ids = files.scan_ids(spark, paths(spark, a, files.ALIGNMENTS), a.input_format)
-    known = [r.taxon for r in stats.unique_ids(ids).orderBy("taxon").toLocalIterator()]
-    out = [named(a, "id.txt")]
-    sinks.write_file(out[0], "".join(x + "\n" for x in known), a.force)
+    every = stats.unique_ids(ids)
+    out = [sinks.write_ordered(every.select(F.concat("taxon", F.lit("\n")).alias("text"), "taxon"), ["taxon"], named(a, "id.txt"), sinks.first_column, force=a.force)]
     if a.map:
-        wide = stats.id_map_wide(ids, known).withColumn("_key", seqs.natural_key(F.col("locus")))
-        out.append(sinks.write_csv(wide, named(a, "map.csv"), {"locus": "locus"} | {x: x for x in known}, ["_key", "locus"], a.force))
+        head = sinks.csv_text(["locus", *(r.taxon for r in every.orderBy("taxon").toLocalIterator())], [])  # a line of the file
+        wide = stats.id_map_wide(ids)
+        cells = F.array_join(F.transform(F.split("present", ""), lambda c: F.when(c == "1", "true").otherwise("false")), ",")
+        lines = wide.select("locus", cells.alias("cells"), seqs.natural_key(F.col("locus")).alias("_key"))
+        out.append(sinks.write_ordered(lines, ["_key", "locus"], named(a, "map.csv"), lambda b: "".join(sinks.csv_text([x], []).rstrip("\n") + f",{c}\n" for x, c in zip(*(c.to_pylist() for c in b.columns[:2]))), head, force=a.force))
     return out
 
 

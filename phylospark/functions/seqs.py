@@ -50,10 +50,6 @@ def ungapped(col: Column) -> Column:
     return F.translate(col, MISSING, "")
 
 
-def all_missing(col: Column) -> Column:
-    return F.length(ungapped(col)) == 0
-
-
 def natural_key(col: Column, width: int = 20) -> Column:
     """Sorts texts with their digit runs as numbers: L2 before L10. Runs longer than the width keep their order among each other only."""
     runs = F.regexp_extract_all(col, F.lit(r"\d+|\D+"), 0)
@@ -96,9 +92,3 @@ def replace_regex(col: Column, pattern: str, replacement: str, every: bool = Fal
     if every:
         return F.regexp_replace(col, pattern, _java_replacement(replacement, 0))
     return F.regexp_replace(col, r"\A([\s\S]*?)(?:" + pattern + ")", "$1" + _java_replacement(replacement, 1))
-
-
-def phred(char: Column) -> Column:
-    """Quality of a character: its code less 33; above 'J' it is an error."""
-    at = F.ascii(char)
-    return F.when(at > 74, F.raise_error(F.lit("a quality character above J"))).otherwise(at - 33)

@@ -161,6 +161,8 @@ def concat(aln: DataFrame) -> DataFrame:
 
 #: Parts of a block, and the columns of the pieces.
 BLOCK_PARTS = 1_000
+#: Characters of pieces that a task holds before it passes them on.
+HELD_CHARS = 4_000_000
 _PIECE = "locus string, seq_idx int, taxon string, seq string"
 
 
@@ -174,19 +176,34 @@ def split(aln: DataFrame, parts: DataFrame, prefix: str | None = None, broadcast
     named = parts.withColumn("gene", F.concat(F.lit(f"{prefix}_"), "gene")) if prefix else parts
     if not is_small(parts, broadcast_rows):
         return _split_blocks(rows, named)
-    known = aln.sparkSession.sparkContext.broadcast([tuple(r) for r in named.orderBy("part_idx").select("gene", "start", "end").collect()])
+    known = aln.sparkSession.sparkContext.broadcast(_bounds([tuple(r) for r in named.orderBy("part_idx").select("gene", "start", "end").collect()]))
 
     def pieces(idx: int, taxon: str, seq: str) -> Iterator[tuple]:
-        for gene, start, end in known.value:
-            if start < 1 or end > len(seq):
-                raise ValueError(f"a part beyond the alignment: {gene}")
-            piece = seq[start - 1 : end]
-            if piece.strip(seqs.MISSING):
-                yield gene, idx, taxon, piece
+        for gene, piece in _cut(seq, *known.value):
+            yield gene, idx, taxon, piece
 
     return _each(rows, pieces, _PIECE)
 
 
+def _bounds(parts: list[tuple[str, int, int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, starts (from 0) and ends (behind the last position) of parts."""
+    return [g for g, _, _ in parts], np.array([s - 1 for _, s, _ in parts], dtype=np.int64), np.array([e for _, _, e in parts], dtype=np.int64)
+
+
+def _cut(seq: str, names: list[str], starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, str]]:
+    """(name, stretch) of the parts in which the sequence has data: they are found by a running count of its data, so that the others cost nothing."""
+    if len(starts) and (starts.min() < 0 or ends.max() > len(seq)):
+        wrong = int(np.flatnonzero((starts < 0) | (ends > len(seq)))[0])
+        raise ValueError(f"a part beyond the alignment: {names[wrong]}")
+    codes = np.frombuffer(seq.encode(), dtype=np.uint8) if seq.isascii() else np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    data = np.ones(len(codes), dtype=bool)
+    for c in seqs.MISSING:
+        data &= codes != ord(c)
+    before = np.concatenate([[0], np.cumsum(data)])
+    for k in np.flatnonzero(before[np.maximum(starts, ends)] > before[starts]):
+        yield names[k], seq[starts[k] : ends[k]]
+
+
 def _split_blocks(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """The split by any number of parts. They are numbered by start over ranges and put in blocks of BLOCK_PARTS; all executors get one row
     a block, by which each sequence is cut into stretches, and a stretch meets only the parts of its block."""
@@ -198,29 +215,25 @@ def _split_blocks(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
     def stretches(idx: int, taxon: str, seq: str) -> Iterator[tuple]:
         for block, lo, hi, last in known.value:
-            if lo < 1 or hi > len(seq):
-                raise ValueError(f"a part beyond the alignment: {last}")
-            stretch = seq[lo - 1 : hi]
-            if stretch.strip(seqs.MISSING):
+            for _, stretch in _cut(seq, *_bounds([(last, lo, hi)])):
                 yield block, lo, idx, taxon, stretch
 
     def pieces(lo: int, idx: int, taxon: str, stretch: str, parts: list[dict]) -> Iterator[tuple]:
-        for p in parts:
-            piece = stretch[p["start"] - lo : max(p["end"] - lo + 1, 0)]
-            if piece.strip(seqs.MISSING):
-                yield p["gene"], idx, taxon, piece
+        for gene, piece in _cut(stretch, *_bounds([(p["gene"], p["start"] - lo + 1, p["end"] - lo + 1) for p in parts])):
+            yield gene, idx, taxon, piece
 
     met = _each(rows, stretches, "block long, lo long, seq_idx int, taxon string, seq string").join(blocks.select("block", "parts"), "block")
     return _each(met.select("lo", "seq_idx", "taxon", "seq", "parts"), pieces, _PIECE)
 
 
 def _each(rows: DataFrame, made: Callable[..., Iterator[tuple]], ddl: str) -> DataFrame:
-    """The rows that a function makes of the columns of each row."""
+    """The rows that a function makes of the columns of each row, passed on when they have HELD_CHARS characters."""
     types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
     schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             cols = zip(*out) if out else [[]] * len(schema)
@@ -229,11 +242,13 @@ def _each(rows: DataFrame, made: Callable[..., Iterator[tuple]], ddl: str) -> Da
             return batch
 
         for b in batches:
-            for k in range(0, b.num_rows, 100):  # a row may hold a long sequence or many parts
-                for row in zip(*(c.to_pylist() for c in b.slice(k, 100).columns)):
-                    out.extend(made(*row))
-                    if len(out) > 10_000:
+            for k in range(b.num_rows):  # a row may hold a long sequence
+                for row in made(*(c[k].as_py() for c in b.columns)):
+                    out.append(row)
+                    size += len(row[-1])
+                    if size > HELD_CHARS:
                         yield flush()
+                        size = 0
         yield flush()
 
     return rows.mapInArrow(run, ddl)

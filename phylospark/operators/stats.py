@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from phylospark.functions import seqs
 from phylospark.operators import sites
+from phylospark.operators.ranges import running_sum
 
 
 def symbols(datatype: str) -> str:
@@ -114,10 +115,17 @@ def unique_ids(aln: DataFrame) -> DataFrame:
 
 
 def id_map(aln: DataFrame) -> DataFrame:
-    """locus, taxon: which locus has which id. The wide form is a pivot of it (`id_map_wide`)."""
+    """locus, taxon: which locus has which id. The long form, which grows with the data; `id_map_wide` has it as rows over all ids."""
     return aln.select("locus", "taxon").distinct()
 
 
-def id_map_wide(aln: DataFrame, ids: list[str]) -> DataFrame:
-    """locus and a boolean for each of the given ids; the ids are columns, so they are bounded by what a table can hold."""
-    return aln.groupBy("locus").agg(*[F.bool_or(F.col("taxon") == i).alias(i) for i in ids])
+def id_map_wide(aln: DataFrame) -> DataFrame:
+    """locus, present: for each of all ids in their order (byte for byte) a '1' if the locus has it, else a '0'. A row is as long as the list of ids, as
+    is a line of the file it is for; no table of all loci and ids is made."""
+    ids = running_sum(unique_ids(aln).withColumn("_one", F.lit(1).cast("bigint")), [], ["taxon"], "_one", "_at", cut="ids").select("taxon", "_at")
+    total = ids.agg(F.coalesce(F.max("_at"), F.lit(0)).alias("_total"))  # one row
+    by = id_map(aln).join(ids, "taxon").groupBy("locus").agg(F.sort_array(F.collect_list("_at")).alias("_s"))
+    zeros = lambda n: F.repeat(F.lit("0"), n.cast("int"))
+    before = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(F.col("_s"), i - 1))
+    ones = F.array_join(F.transform("_s", lambda x, i: F.concat(zeros(x - before(i) - 1), F.lit("1"))), "")
+    return by.crossJoin(F.broadcast(total)).select("locus", F.concat(ones, zeros(F.col("_total") - F.get(F.col("_s"), F.size("_s") - 1))).alias("present"))

@@ -120,10 +120,10 @@ for _step in (5, 10):
     add(f"matrix_completeness_{_step}", lambda s, d, k=_step: stats.matrix_completeness(stats.headers(dna(s, d)), stats.unique_ids(dna(s, d)).agg(F.count("*").alias("total_taxa")), k), _COMPLETE.format(_step))
 add("unique_ids", lambda s, d: stats.unique_ids(alignments(s, d)), _ALL + "aln as (select * from al) select distinct taxon from aln")
 add("id_map", lambda s, d: stats.id_map(alignments(s, d)), _ALL + "aln as (select * from al) select distinct locus, taxon from aln")
-#: Ids of the wide map, the extraction and the other lists: those that many loci have.
+#: Ids of the extraction and the other lists: those that many loci have.
 IDS = ["Gamorum_malaquaoides_MV56868", "Lenhaus_haviana_TZ81675", "Debezela_morgaensis_MV72241"]
 _IDS = ", ".join(f"'{x}'" for x in IDS)
-add("id_map_wide", lambda s, d: stats.id_map_wide(alignments(s, d), IDS), _ALL + "aln as (select * from al) select locus, " + ", ".join(f"bool_or(taxon = '{x}') as \"{x}\"" for x in IDS) + " from aln group by locus")
+add("id_map_wide", lambda s, d: stats.id_map_wide(alignments(s, d)), _ALL + "aln as (select * from al), ids as (select distinct taxon from aln), loci as (select distinct locus from aln) select locus, string_agg(case when (locus, taxon) in (select (locus, taxon) from aln) then '1' else '0' end, '' order by taxon) as present from loci cross join ids group by locus")
 
 # --- filters of loci
 
@@ -158,13 +158,7 @@ def _rejoined(aln: DataFrame) -> DataFrame:
     return align.split(whole, align.partitions(aln)).select("locus", "taxon", "seq")
 
 
-def _split(s: SparkSession, d: str) -> DataFrame:
-    """Only the loci with at least 20 taxa, as its SQL has it; `split_all` is the split of all DNA loci."""
-    return _rejoined(align.filter_loci(dna(s, d), min_ntax=20))
-
-
-add("split", _split, _FILTERED + _PARTS + _CONCAT + ", cut as (select gene as locus, taxon, substr(seq, start, \"end\" - start + 1) as seq from con, parts) select * from cut where translate(seq, '-?', '') <> ''")
-add("split_all", lambda s, d: _rejoined(dna(s, d)), None)  # DuckDB would cut each piece out of a string of all loci
+add("split", lambda s, d: _rejoined(dna(s, d)), _DNA + _PARTS + _CONCAT + ", cut as (select gene as locus, taxon, substr(seq, start, \"end\" - start + 1) as seq from con, parts) select * from cut where translate(seq, '-?', '') <> ''")
 _MISS = ", ms as (select locus, pos, avg(case when base in ('-', '?') then 1.0::double else 0.0::double end) as m from site group by all)"
 _PICK = ", kept as (select locus, list(pos + 1 order by pos) as ix from {0} group by locus)"
 _CUT = "select a.locus, a.taxon, array_to_string(list_transform(k.ix, lambda i: a.seq[i]), '') as seq from aln a join kept k on a.locus = k.locus"
@@ -275,7 +269,7 @@ _NSTAT = ", " + """cs as (select path, len, sum(len) over (partition by path ord
 ns as (select path, max(len) filter (c >= floor(total * 0.5::double)) as n50, max(len) filter (c >= floor(total * 0.75::double)) as n75, max(len) filter (c >= floor(total * 0.9::double)) as n90 from cs group by path)"""
 _CB = ", ".join(f"cast(sum({_lost('upper(seq)', c)}) as bigint) as {c.lower()}_count" for c in "GCATN")
 _LT = ", ".join(f"count(*) filter (length(seq) > {t}) as contig_{t}" for t in genomics.THRESHOLDS)
-add("contig_summary", lambda s, d: genomics.contig_summary(contigs(s, d)).drop("len_stdev"), _CONTIG + _NSTAT + f""", b as (select path, count(*) as contig_count, {_CB}, cast(sum(length(seq)) as bigint) as len_sum, min(length(seq)) as len_min, max(length(seq)) as len_max, {_LT}, median(length(seq)) as len_median from ct group by path)
+add("contig_summary", lambda s, d: genomics.contig_summary(contigs(s, d)), _CONTIG + _NSTAT + f""", b as (select path, count(*) as contig_count, {_CB}, cast(sum(length(seq)) as bigint) as len_sum, min(length(seq)) as len_min, max(length(seq)) as len_max, {_LT}, median(length(seq)) as len_median, stddev_samp(length(seq)) as len_stdev from ct group by path)
 select b.*, g_count + c_count + a_count + t_count as nucleotide, g_count + c_count + a_count + t_count + n_count as base_count, (g_count + c_count) / nullif(g_count + c_count + a_count + t_count + n_count, 0)::double as gc_content,
 (a_count + t_count) / nullif(g_count + c_count + a_count + t_count + n_count, 0)::double as at_content, len_sum / contig_count::double as len_mean, n50, n75, n90 from b join ns on b.path is not distinct from ns.path""")
 _lengths = lambda s, d: contigs(s, d).groupBy("path", F.length("seq").cast("bigint").alias("len")).agg(F.count("*").alias("_n"))

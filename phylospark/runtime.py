@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -50,6 +51,23 @@ def filesystem(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Hadoop resolves it, so that all who use it mean the same file; without a scheme if that is the local one."""
+    fs, p = filesystem(spark, path)
+    return re.sub("^file:/+", "/", fs.makeQualified(p).toString())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what is in a folder, sorted; none if it does not exist."""
+    fs, p = filesystem(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The text of a small file, None if it does not exist."""
     fs, p = filesystem(spark, path)
@@ -62,6 +80,20 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that must not exist yet: under another name first, then renamed, so that it is there as a whole or not at all."""
+    fs, p = filesystem(spark, path)
+    _, part = filesystem(spark, f"{path}.{uuid.uuid4().hex}.part")
+    stream = fs.create(part, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(p) or not fs.rename(part, p):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Replace a small file."""
     fs, p = filesystem(spark, path)

@@ -8,17 +8,20 @@ A file that breaks its format fails the query with the file's name.
 
 from __future__ import annotations
 
+import gzip
 import os
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospark.functions import seqs
-from phylospark.runtime import filesystem
+from phylospark.runtime import filesystem, qualified
 from phylospark.sources import parsers
+from phylospark.sources.ranges import open_fs
 
 #: File name extensions by format. Discovery by these lists, not by patterns that other names fit as well.
 EXTENSIONS = {
@@ -31,6 +34,8 @@ EXTENSIONS = {
     "bed": ["bed"],
 }
 ALIGNMENTS = ["fasta", "nexus", "phylip"]
+#: Bytes of a packed file that are unpacked at once.
+PACKED_BYTES = 8 << 20
 
 
 def extension(path: str) -> str:
@@ -64,10 +69,10 @@ def discover(spark: SparkSession, folder: str, formats: list[str], recursive: bo
 
 
 def input_paths(spark: SparkSession, formats: list[str], folder: str | None = None, paths: list[str] | None = None, recursive: bool = False) -> list[str]:
-    """Either a folder's files or the given paths as they are."""
+    """Either a folder's files or the given paths, qualified by their file system."""
     if bool(folder) == bool(paths):
         raise ValueError("give a folder or paths, not both")
-    return discover(spark, folder, formats, recursive) if folder else list(paths)
+    return discover(spark, folder, formats, recursive) if folder else [qualified(spark, p) for p in paths]
 
 
 def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -157,18 +162,41 @@ def scan_alignments(spark: SparkSession, paths: list[str], fmt: str = "auto", da
 # --- large files
 
 
-def scan_fastq(spark: SparkSession, paths: list[str], split_bytes: int = 128 << 20) -> DataFrame:
-    """path, file_name, read_idx, name, seq, qual. read_idx: where the read begins in the (unpacked) file, so it follows the file's order."""
+def scan_fastq(spark: SparkSession, paths: list[str], split_bytes: int = 128 << 20, fmt: str = "auto") -> DataFrame:
+    """path, file_name, read_idx, name, seq, qual. read_idx: where the read begins in the (unpacked) file, so it follows the file's order.
+    fmt: 'gzip' or 'fastq' whatever the files are called; 'auto' goes by their names."""
     from phylospark.sources.ranges import FastqSource
 
     spark.dataSource.register(FastqSource)
-    return spark.read.format("phylospark_fastq").option("paths", "\n".join(paths)).option("split_bytes", str(split_bytes)).load()
+    paths = [qualified(spark, p) for p in paths]
+    return spark.read.format("phylospark_fastq").option("paths", "\n".join(paths)).option("split_bytes", str(split_bytes)).option("format", fmt).load()
 
 
-def scan_contigs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, contig_name, id, seq: records are split at '>' at the beginning of a line, in parallel also within a plain file. No checks."""
-    rows = spark.read.option("lineSep", "\n>").text(paths).select(F.regexp_replace(F.try_url_decode(F.col("_metadata.file_path")), "^file:/+", "/").alias("path"), F.regexp_replace("value", "^>", "").alias("x"))
-    rows = rows.filter(F.trim("x") != "")
+def _unpacked(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, x: the records of packed FASTA files, each file read as a stream by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                fs, p = open_fs(path)
+                with gzip.GzipFile(fileobj=fs.open_input_stream(p, compression=None)) as f:
+                    left = b""
+                    while piece := f.read(PACKED_BYTES):
+                        *whole, left = (left + piece).split(b"\n>")
+                        yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(whole)), "x": pa.array([w.decode() for w in whole], pa.string())})
+                    yield pa.RecordBatch.from_pydict({"path": [path], "x": [left.decode()]})
+
+    return spark.createDataFrame([(qualified(spark, p),) for p in paths], "path string").repartition(len(paths)).mapInArrow(run, "path string, x string")
+
+
+def scan_contigs(spark: SparkSession, paths: list[str], fmt: str = "auto") -> DataFrame:
+    """path, contig_name, id, seq: records are split at '>' at the beginning of a line, in parallel also within a plain file. No checks.
+    fmt: 'gzip' if the files are packed but not called so; else their names tell."""
+    if fmt == "gzip":
+        rows = _unpacked(spark, paths)
+    else:
+        rows = spark.read.option("lineSep", "\n>").text(paths).select(F.regexp_replace(F.try_url_decode(F.col("_metadata.file_path")), "^file:/+", "/").alias("path"), F.col("value").alias("x"))
+    rows = rows.withColumn("x", F.regexp_replace("x", "^>", "")).filter(F.trim("x") != "")
     name = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(\.[^.]*)?(\.gz)?$", "")
     body = F.expr("substring(x, length(substring_index(x, '\n', 1)) + 1)")
     return rows.select("path", name.alias("contig_name"), F.trim(F.replace(F.substring_index("x", "\n", 1), F.lit("\r"), F.lit(""))).alias("id"), F.regexp_replace(body, r"\s", "").alias("seq"))
@@ -187,10 +215,6 @@ def _maf(spark: SparkSession, paths: list[str], kinds: tuple[str, ...], ddl: str
     names = [c.split()[0] for c in re.split(r", (?=\w+ (?:string|int|double|array|struct|map))", ddl)]
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string  # noqa: F401
-
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
@@ -238,7 +262,7 @@ def scan_bed(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def scan_partitions(spark: SparkSession, paths: list[str], fmt: str = "auto", checked: bool = True) -> DataFrame:
-    """path, part_idx, gene, start, end. Partition tables are small; a table with holes or overlaps raises if checked."""
+    """path, part_idx, gene, start, end. A table without any part raises, and one with holes or overlaps if checked. A table is read as a whole by one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -151,20 +151,27 @@ def maf(lines: Iterator[str]) -> Iterator[dict]:
 
 # --- partitions
 
-_SUFFIX = re.compile(r"(?i)(_subset_?\d|_\d{1}\D{2}pos)")
-_RANGE = re.compile(r"^\s*(\d+)\s*-\s*(\d+)\s*(?:\\3)?\s*;?\s*$")
-_STRIP = str.maketrans({c: None for c in "()/\\,\"';:?!"} | {".": "_"})
+#: Characters that a part's name loses, and what becomes of a dot.
+DROPPED = "()/\\,\"';:?!"
+_NAME = str.maketrans({c: None for c in DROPPED} | {".": "_"})
+#: What tells the codon positions of a gene apart: the number of a subset, or the ordinal of a position.
+_CODON_PART = re.compile(r"_(?:subset_?[0-9]|[0-9](?:st|nd|rd|th)pos)", re.IGNORECASE)
+_RANGE = re.compile(r"\s*(\d+)\s*-\s*(\d+)\s*(\\3)?\s*;?\s*")
 
 
-def _gene(name: str) -> str:
-    name = name.strip().translate(_STRIP)
+def _gene(name: str, codon: bool) -> str:
+    name = name.strip().translate(_NAME)
     if re.search(r"\s", name):
         raise FormatError(f"a name with blanks: {name!r}")
-    return _SUFFIX.sub("", name, count=1)
+    return _CODON_PART.sub("", name, count=1) if codon else name
 
 
 def partition(text: str, fmt: str) -> list[tuple[str, int, int]]:
-    """(gene, start, end) of a RAxML ('raxml') or NEXUS ('nexus', 'charset') partition table. The codon positions of a gene count once, from its first."""
+    """(gene, start, end) of a RAxML ('raxml') or NEXUS ('nexus', 'charset') partition table.
+
+    A range in steps of three is a codon position of a gene: its name loses what tells it apart, and the positions of a gene, which are those
+    in a row with the same end, count once, from the first. Other names stay whole and other ranges are parts each. No part at all is an error.
+    """
     found: list[tuple[str, int, int]] = []
     for line in text.splitlines():
         x = line.strip()
@@ -177,13 +184,15 @@ def partition(text: str, fmt: str) -> list[tuple[str, int, int]]:
         name, _, where = x.partition("=")
         if fmt == "raxml" and "," in name:
             name = name.partition(",")[2]
-        m = _RANGE.match(where)
+        m = _RANGE.fullmatch(where)
         if not m:
             raise FormatError(f"no range of positions: {line!r}")
-        one = (_gene(name), int(m[1]), int(m[2]))
-        if found and found[-1][0] == one[0] and found[-1][2] == one[2]:
+        codon, start, end = m[3] is not None, int(m[1]), int(m[2])
+        if codon and found and found[-1][2] == end:
             continue
-        found.append(one)
+        found.append((_gene(name, codon), start, end))
+    if not found:
+        raise FormatError("no part in the partition table")
     return found
 
 

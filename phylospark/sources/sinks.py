@@ -1,8 +1,9 @@
 """Writers of sequence files, partition tables, summary tables and the text report.
 
 Alignments go out as one file a locus, each written by one task under a temporary name and then renamed, so that a repeated task
-does no harm. Summary tables are small and stream through the driver row by row into one file. Existing files are not
-overwritten unless force is given.
+does no harm. What becomes one file whatever its size (a concatenated alignment, a partition or summary table) is sorted over ranges; each task
+writes its range as a piece in the target's file system, and the pieces are joined by streams, so that no one holds the whole.
+Existing files are not overwritten unless force is given. Paths are qualified by the driver; executors use the same file system.
 """
 
 from __future__ import annotations
@@ -12,19 +13,25 @@ import io
 import os
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from phylospark.functions import seqs
 from phylospark.operators.stats import symbols
+from phylospark.runtime import qualified
+from phylospark.sources.ranges import open_fs
 
 SEQUENCE_FORMATS = {"fasta": "fas", "fasta-int": "fas", "nexus": "nex", "nexus-int": "nex", "phylip": "phy", "phylip-int": "phy"}
 PARTITION_FORMATS = ["charset", "nexus", "raxml", "charset-codon", "nexus-codon", "raxml-codon"]
 #: Widths of interleaved blocks, and the number of characters from which the wider one is used.
 NARROW, WIDE, WIDE_FROM = 80, 500, 2000
+#: Bytes that are copied at once.
+COPIED = 8 << 20
 
 
 # --- text of one alignment
@@ -35,71 +42,175 @@ def _pieces(seq: str, nchar: int) -> list[str]:
     return [seq[i : i + width] for i in range(0, len(seq), width)] or [""]
 
 
-def alignment_text(rows: list[tuple[str, str]], fmt: str, datatype: str = "dna", missing: str = "?", gap: str = "-", nchar: int | None = None) -> str:
-    """The file of an alignment given as (id, sequence) in order. nchar: of the header, if it is not the longest sequence's."""
-    nchar = max((len(s) for _, s in rows), default=0) if nchar is None else nchar
-    kind, _, inter = fmt.partition("-")
+class UnevenRows(ValueError):
+    """Sequences of different lengths in a format that has none."""
+
+
+def _frame(kind: str, ntax: int, nchar: int, inter: bool, datatype: str = "dna", missing: str = "?", gap: str = "-") -> tuple[str, str]:
+    """What comes before and behind the sequences of a file."""
+    if kind == "fasta":
+        return "", ""
+    if kind == "phylip":
+        return f"{ntax} {nchar}\n", ""
+    name = "protein" if datatype == "aa" else "dna"
+    return f"#NEXUS\nbegin data;\ndimensions ntax={ntax} nchar={nchar};\nformat datatype={name} missing={missing} gap={gap}{' interleave' * inter};\nmatrix\n", ";\nend;\n"
+
+
+def _known(fmt: str) -> tuple[str, bool]:
+    """A format's kind, and whether it is interleaved."""
     if fmt not in SEQUENCE_FORMATS:
         raise ValueError(f"unknown format {fmt}; known: {', '.join(SEQUENCE_FORMATS)}")
+    kind, _, inter = fmt.partition("-")
+    return kind, bool(inter)
+
+
+def alignment_text(rows: list[tuple[str, str]], fmt: str, datatype: str = "dna", missing: str = "?", gap: str = "-", nchar: int | None = None) -> str:
+    """The file of an alignment given as (id, sequence) in order. nchar: of the header, if it is not the longest sequence's. Only FASTA takes uneven rows."""
+    kind, inter = _known(fmt)
+    lengths = {len(s) for _, s in rows}
+    if kind != "fasta" and len(lengths) > 1:
+        raise UnevenRows(f"{kind} needs sequences of one length, not of {min(lengths)} to {max(lengths)}")
+    nchar = max(lengths, default=0) if nchar is None else nchar
     width = max((len(i) for i, _ in rows), default=0) + 1
-    out: list[str] = []
+    head, tail = _frame(kind, len(rows), nchar, inter, datatype, missing, gap)
     if kind == "fasta":
-        for i, s in rows:
-            out += [f">{i}", *(_pieces(s, nchar) if inter else [s])]
-        return "\n".join(out) + "\n"
+        return "".join(f">{i}\n" + "\n".join(_pieces(s, nchar) if inter else [s]) + "\n" for i, s in rows)
     blocks = [[(i, s) for i, s in rows]]
     if inter:
         cut = [(i, _pieces(s, nchar)) for i, s in rows]
-        blocks = [[(i, p[k] if k < len(p) else "") for i, p in cut] for k in range(max((len(p) for _, p in cut), default=0))]
-    if kind == "phylip":
-        text = f"{len(rows)} {nchar}\n"
-        bodies = ["".join(f"{i:<{width}}{s}\n" if not k else f"{s}\n" for i, s in b) for k, b in enumerate(blocks)]
-        return text + "\n".join(bodies)
-    head = f"#NEXUS\nbegin data;\ndimensions ntax={len(rows)} nchar={nchar};\nformat datatype={'protein' if datatype == 'aa' else 'dna'} missing={missing} gap={gap}{' interleave' if inter else ''};\nmatrix\n"
-    return head + "\n".join("".join(f"{i:<{width}}{s}\n" for i, s in b) for b in blocks) + ";\nend;\n"
+        blocks = [[(i, p[k]) for i, p in cut] for k in range(len(cut[0][1]) if cut else 0)]
+    named = lambda k: not k or kind == "nexus"
+    return head + "\n".join("".join((f"{i:<{width}}" if named(k) else "") + f"{s}\n" for i, s in b) for k, b in enumerate(blocks)) + tail
 
 
-def partition_text(parts: list[tuple[str, int, int]], fmt: str, datatype: str = "dna") -> str:
-    """A partition table given as (gene, start, end). The codon forms have three lines a gene."""
-    kind, _, codon = fmt.partition("-")
+def _part_frame(fmt: str) -> tuple[str, str]:
     if fmt not in PARTITION_FORMATS:
         raise ValueError(f"unknown format {fmt}; known: {', '.join(PARTITION_FORMATS)}")
-    lines = []
-    for gene, start, end in parts:
-        ranges = [(f"{gene}_Subset{k + 1}", f"{start + k}-{end}\\3") for k in range(3)] if codon else [(gene, f"{start}-{end}")]
-        for name, where in ranges:
-            if kind == "raxml":
-                lines.append(f"{'DNA, ' if datatype == 'dna' else ''}{name} = {where}")
-            else:
-                lines.append(f"charset {name if codon or '-' not in name else repr(name)} = {where};")
+    kind = fmt.partition("-")[0]
+    return ("", "") if kind == "raxml" else ("#nexus\n" * (kind == "nexus") + "begin sets;\n", "end;\n")
+
+
+def _part_line(gene: str, start: int, end: int, fmt: str, datatype: str) -> str:
+    """A part's line, or its three in the codon forms."""
+    kind, _, codon = fmt.partition("-")
+    ranges = [(f"{gene}_Subset{k + 1}", f"{start + k}-{end}\\3") for k in range(3)] if codon else [(gene, f"{start}-{end}")]
     if kind == "raxml":
-        return "".join(x + "\n" for x in lines)
-    return "#nexus\n" * (kind == "nexus") + "begin sets;\n" + "".join(x + "\n" for x in lines) + "end;\n"
+        return "".join(f"{'DNA, ' if datatype == 'dna' else ''}{name} = {where}\n" for name, where in ranges)
+    return "".join(f"charset {name if codon or '-' not in name else repr(name)} = {where};\n" for name, where in ranges)
 
 
-# --- files
+def partition_text(parts: list[tuple[str, int, int]], fmt: str, datatype: str = "dna") -> str:
+    """A partition table given as (gene, start, end). The codon forms have three lines a gene."""
+    head, tail = _part_frame(fmt)
+    return head + "".join(_part_line(*p, fmt, datatype) for p in parts) + tail
 
 
-def _fs(path: str):
-    from pyarrow import fs
+# --- files
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
+def exists(path: str) -> bool:
+    fs, p = open_fs(path)
+    return fs.get_file_info(p).type.name != "NotFound"
 
-def write_file(path: str, content: bytes | str, force: bool = False) -> None:
-    """Write a file as a whole, or not at all. Raises if it exists, unless forced."""
-    fs, p = _fs(path)
-    if not force and fs.get_file_info(p).type.name != "NotFound":
+
+def write_stream(path: str, fill: Callable[[object], None], force: bool = False) -> None:
+    """Write a file by a function that fills a stream, as a whole or not at all. Raises if it exists, unless forced."""
+    fs, p = open_fs(path)
+    if not force and exists(path):
         raise FileExistsError(path)
     fs.create_dir(os.path.dirname(p) or ".", recursive=True)
     part = f"{os.path.dirname(p)}/.{os.path.basename(p)}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as f:
-        f.write(content.encode() if isinstance(content, str) else content)
-    if force and fs.get_file_info(p).type.name != "NotFound":
+        fill(f)
+    if force and exists(path):
         fs.delete_file(p)
     fs.move(part, p)
 
 
+def write_file(path: str, content: bytes | str, force: bool = False) -> None:
+    write_stream(path, lambda f: f.write(content.encode() if isinstance(content, str) else content), force)
+
+
+def append_file(path: str, to: object) -> None:
+    """Copy a file's bytes into a stream, a piece at a time."""
+    fs, p = open_fs(path)
+    with fs.open_input_stream(p) as f:
+        while piece := f.read(COPIED):
+            to.write(piece)
+
+
+def write_ordered(rows: DataFrame, order: list[str | Column], path: str, text: Callable[[pa.RecordBatch], str], head: str = "", tail: str = "", force: bool = False, before: str | None = None) -> str:
+    """One file of all rows in this order, between head and tail. text: of a batch of rows, without the columns of the order. before: a file whose
+    content comes first. Rows equal in the order may come in any."""
+    path = qualified(rows.sparkSession, path)
+    if not force and exists(path):
+        raise FileExistsError(path)
+    keys = [f"_order{i}" for i in range(len(order))]
+    columns = rows.columns
+    keyed = rows.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in zip(keys, order)])
+    pieces = f"{os.path.dirname(path)}/.pieces-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        to = f"{pieces}/{task.partitionId()}-{task.taskAttemptId()}"  # a repeated task writes another piece; only one of them is told of
+        fs, p = open_fs(to)
+        fs.create_dir(os.path.dirname(p), recursive=True)
+        with fs.open_output_stream(p) as f:
+            for b in batches:
+                f.write(text(b).encode())
+        yield pa.RecordBatch.from_pydict({"k": pa.array([task.partitionId()], pa.int32()), "path": [to]})
+
+    ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(columns)
+    fs, p = open_fs(pieces)
+    try:
+        made = sorted((r.k, r.path) for r in ranged.mapInArrow(run, "k int, path string").collect())  # one row a task
+
+        def fill(f: object) -> None:
+            if before:
+                append_file(before, f)
+            f.write(head.encode())
+            for _, piece in made:
+                append_file(piece, f)
+            f.write(tail.encode())
+
+        write_stream(path, fill, force)
+    finally:
+        if exists(pieces):
+            fs.delete_dir(p)
+    return path
+
+
+def copy_files(paths: DataFrame, folder: str, force: bool = False) -> list[str]:
+    """Copy the files of the column `path` into a folder, unchanged; returns the new paths. Each is copied by the task that has its row.
+    Two files of one name raise."""
+    folder = _empty(paths.sparkSession, folder, force)
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    twice = paths.select("path").distinct().groupBy(name.alias("name")).count().filter("count > 1").first()
+    if twice:
+        raise FileExistsError(f"{twice['count']} files are called {twice.name}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for path in b.column(0).to_pylist():
+                made.append(f"{folder}/{os.path.basename(path)}")
+                write_stream(made[-1], lambda f, path=path: append_file(path, f), force=True)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["path"])
+
+    return sorted(r.path for r in paths.select("path").distinct().mapInArrow(run, "path string").collect())
+
+
+def _empty(spark: SparkSession, folder: str, force: bool) -> str:
+    """The folder's qualified path. Raises if there is anything in it, unless forced."""
+    from pyarrow.fs import FileSelector
+
+    folder = qualified(spark, folder)
+    fs, p = open_fs(folder)
+    if not force and fs.get_file_info(p).type.name == "Directory" and fs.get_file_info(FileSelector(p)):
+        raise FileExistsError(folder)
+    return folder
+
+
 def output_name(path: str, fmt: str) -> str:
     """The input's file name with the extension of the output format."""
     return os.path.splitext(os.path.basename(path))[0] + "." + SEQUENCE_FORMATS[fmt]
@@ -115,48 +226,63 @@ def partition_name(path: str, fmt: str) -> str:
 def write_alignments(aln: DataFrame, folder: str, fmt: str = "nexus", datatype: str = "dna", force: bool = False, nchar: bool = False) -> list[str]:
     """One file a locus, called by the locus; returns the paths. nchar: the header's number of characters comes with the rows."""
     cols = ["locus", "seq_idx", "taxon", "seq"] + ["nchar"] * nchar
+    folder = _empty(aln.sparkSession, folder, force)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["seq_idx", "taxon"])
         path = f"{folder}/{pdf['locus'].iloc[0]}.{SEQUENCE_FORMATS[fmt]}"
-        text = alignment_text(list(zip(pdf["taxon"], pdf["seq"])), fmt, datatype, nchar=int(pdf["nchar"].iloc[0]) if nchar else None)
+        try:
+            text = alignment_text(list(zip(pdf["taxon"], pdf["seq"])), fmt, datatype, nchar=int(pdf["nchar"].iloc[0]) if nchar else None)
+        except UnevenRows as e:
+            raise UnevenRows(f"{path}: {e}") from None
         # a task that runs again after its file was written finds the same text
         try:
             write_file(path, text, force)
         except FileExistsError:
-            fs, p = _fs(path)
+            fs, p = open_fs(path)
             if fs.open_input_stream(p).read() != text.encode():
                 raise
         return pd.DataFrame({"path": [path]})
 
-    fs, p = _fs(folder)
-    if not force and fs.get_file_info(p).type.name == "Directory":
-        from pyarrow.fs import FileSelector
-
-        if fs.get_file_info(FileSelector(p)):
-            raise FileExistsError(folder)
     return sorted(r.path for r in aln.select(cols).groupBy("locus").applyInPandas(run, "path string").collect())
 
 
+def first_column(batch: pa.RecordBatch) -> str:
+    return "".join(batch.column(0).to_pylist())
+
+
 def write_one(rows: DataFrame, path: str, fmt: str = "fasta-int", datatype: str = "dna", force: bool = False) -> str:
     """All rows (taxon, seq, and seq_idx if there is one) as one alignment file."""
+    kind, inter = _known(fmt)
     order = ["seq_idx", "taxon"] if "seq_idx" in rows.columns else ["taxon"]
-    pairs = [(r.taxon, r.seq) for r in rows.orderBy(*order).select("taxon", "seq").toLocalIterator()]
-    write_file(path, alignment_text(pairs, fmt, datatype), force)
-    return path
+    n = rows.agg(F.count("*").alias("ntax"), F.coalesce(F.min(F.length("seq")), F.lit(0)).alias("least"), F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("nchar"), F.coalesce(F.max(F.length("taxon")), F.lit(0)).alias("width")).first()
+    if kind != "fasta" and n.least != n.nchar:
+        raise UnevenRows(f"{path}: {kind} needs sequences of one length, not of {n.least} to {n.nchar}")
+    head, tail = _frame(kind, n.ntax, n.nchar, inter, datatype)
+    end = F.lit("\n")
+    pieces = seqs.chunks(F.col("seq"), NARROW if n.nchar < WIDE_FROM else WIDE)
+    if kind == "fasta":
+        body = F.array_join(pieces, "\n") if inter else F.col("seq")
+        lines = rows.select(F.concat(F.lit(">"), "taxon", end, body, end).alias("text"), *order)
+        return write_ordered(lines, order, path, first_column, head, tail, force)
+    name = F.rpad("taxon", n.width + 1, " ")
+    if not inter:
+        return write_ordered(rows.select(F.concat(name, "seq", end).alias("text"), *order), order, path, first_column, head, tail, force)
+    cut = rows.select("taxon", *[F.col(c).alias(f"_{c}") for c in order], F.posexplode_outer(pieces).alias("_block", "_piece"))
+    first = F.coalesce(F.col("_block"), F.lit(0)) == 0
+    text = F.concat(F.when(first | F.lit(kind == "nexus"), name).otherwise(""), F.coalesce("_piece", F.lit("")), end)
+    lines = cut.select(text.alias("text"), F.coalesce("_block", F.lit(0)).alias("_block"), F.lit(1).alias("_line"), *[f"_{c}" for c in order])
+    blank = lines.filter(F.col("_block") > 0).select("_block").distinct().select(end.alias("text"), "_block", F.lit(0).alias("_line"), *[F.lit(None).cast(lines.schema[f"_{c}"].dataType).alias(f"_{c}") for c in order])
+    return write_ordered(lines.unionByName(blank), ["_block", "_line", *[f"_{c}" for c in order]], path, first_column, head, tail, force)
 
 
 def write_partition(parts: DataFrame, path: str, fmt: str = "nexus", datatype: str = "dna", force: bool = False) -> str:
     """The partition table of the alignment at path; for charsets it is appended to the alignment's file."""
-    rows = [(r.gene, r.start, r.end) for r in parts.orderBy("part_idx").toLocalIterator()]
-    text = partition_text(rows, fmt, datatype)
-    to = partition_name(path, fmt)
-    if fmt.startswith("charset"):
-        fs, p = _fs(path)
-        text = fs.open_input_stream(p).read().decode() + text
-        force = True
-    write_file(to, text, force)
-    return to
+    path = qualified(parts.sparkSession, path)
+    head, tail = _part_frame(fmt)
+    lines = lambda b: "".join(_part_line(*r, fmt, datatype) for r in zip(*(c.to_pylist() for c in b.columns[:3])))
+    charset = fmt.startswith("charset")
+    return write_ordered(parts.select("gene", "start", "end", "part_idx"), ["part_idx"], partition_name(path, fmt), lines, head, tail, force or charset, before=path if charset else None)
 
 
 def _cell(v: object) -> object:
@@ -172,11 +298,39 @@ def csv_text(header: list[str], rows: Iterable[Iterable]) -> str:
     return out.getvalue()
 
 
+def _csv_rows(batch: pa.RecordBatch) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([_cell(v) for v in r] for r in zip(*(c.to_pylist() for c in batch.columns)))
+    return out.getvalue()
+
+
 def write_csv(df: DataFrame, path: str, columns: dict[str, str], order: list[str], force: bool = False) -> str:
     """One CSV file. columns: the file's header by the frame's columns, in order; the same frame column may come under several headers."""
-    rows = df.orderBy(*order).select(*[F.col(f"`{c}`") for c in columns.values()]).toLocalIterator()
-    write_file(path, csv_text(list(columns), rows), force)
-    return path
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns.values())], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    n = len(columns)
+    return write_ordered(rows, [f"_o{i}" for i in range(len(order))], path, lambda b: _csv_rows(b.select(range(n))), csv_text(list(columns), []), force=force)
+
+
+def write_csv_each(df: DataFrame, by: str, name: Callable[[str], str], columns: dict[str, str], order: list[str], force: bool = False) -> list[str]:
+    """One CSV file for each value of a column, at the path that `name` gives it; returns the paths."""
+    spark = df.sparkSession
+    at = qualified(spark, name("{}"))
+    rows = df.select(by, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns.values())], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    n = len(columns)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(f"_o{i}", "ascending") for i in range(len(order))]).select([f"_c{i}" for i in range(n)])
+        path = at.replace("{}", str(key[0].as_py()))
+        text = csv_text(list(columns), []) + "".join(_csv_rows(b) for b in table.to_batches())
+        try:
+            write_file(path, text, force)
+        except FileExistsError:  # a task that runs again finds the same text
+            fs, p = open_fs(path)
+            if fs.open_input_stream(p).read() != text.encode():
+                raise
+        return pa.table({"path": [path]})
+
+    return sorted(r.path for r in rows.groupBy(by).applyInArrow(run, "path string").collect())
 
 
 # --- layouts of the summary files
@@ -224,12 +378,14 @@ TRIM_COLUMNS = {"locus": "locus", "ntax": "ntax", "before": "before", "after": "
 
 
 def write_zip(path: str, members: Iterator[tuple[str, str]], force: bool = False) -> str:
-    """A zip archive of texts by their names."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in members:
-            z.writestr(name, text)
-    write_file(path, out.getvalue(), force)
+    """A zip archive of texts by their names, packed while it is written: one member is held at a time."""
+
+    def fill(f: object) -> None:
+        with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in members:
+                z.writestr(name, text)
+
+    write_stream(path, fill, force)
     return path
 
 

@@ -1,6 +1,8 @@
 """Commands over files: numbers of files, rows and columns that they write."""
 
 import csv
+import gzip
+import os
 import zipfile
 
 import pytest
@@ -41,6 +43,10 @@ def test_align(at, tmp_path):
     assert len(back) == 4 and open(back[0]).read() == ">ABCD\ngatata\n"
     assert len(at("align", "filter", long, "f1", "--min-pinf", "3")) == 1 and len(at("align", "filter", long, "f2", "--npercent", "0.5", "0.9")) == 8
     assert len(at("align", "filter", long, "f3", "--percent", "0.5", "--concat")) == 2
+    for option, value, name in (("--min-len", "25", "n_25bp"), ("--max-pinf", "3", "n_3pinf"), ("--percent-inf", ".5", "n_50percent_pinf"), ("--missing-data", "0.255", "n_25.5percent_missing")):
+        kept = at("align", "filter", long, "n", option, value)
+        assert {os.path.basename(os.path.dirname(p)) for p in kept} == {name}
+        assert all(open(p).read() == open(f"{long}/{os.path.basename(p)}").read() for p in kept)  # copied as they are
     with pytest.raises(ValueError, match="no alignments"):
         at("align", "filter", long, "f4", "--min-len", "27")
     assert len(at("align", "trim", gappy, "t", "--missing-data", "0.5")) == 5
@@ -82,13 +88,22 @@ def test_sequence(at, tmp_path):
     assert "xBCD" in open(at("sequence", "rename", aln, "n2", "--replace-from-re=^A", "--replace-to=x")[0]).read()
     assert at("sequence", "rename", aln, "n3", "--remove=BC", "--dry-run") == []
     assert len(at("sequence", "translate", aln, "t1", "--table", "2")) == 4 and all("RF-1" in p for p in at("sequence", "translate", aln, "t2", "--auto-read"))
-    assert len(at("sequence", "add", gappy, "a1", "--to-dir", aln, "--added-only")) == 2
+    added = at("sequence", "add", gappy, "a1", "--to-dir", aln, "--added-only")
+    assert len(added) == 2 and all(p.endswith(".fas") and open(p).read()[0] == ">" for p in added)
+    with pytest.raises(Exception, match="one length"):
+        at("align", "convert", at_raw(tmp_path), "uneven", "-F", "phylip")
     single = at("sequence", "add", gappy, "a2", "--to-file", str(tmp_path / "one.fas"))
     assert open(single[0]).read().count(">") == 3
     with pytest.raises(FileExistsError):
         at("sequence", "add", gappy, "a3", "--to-file", str(tmp_path / "one.fas"))
 
 
+def at_raw(tmp_path):
+    (tmp_path / "raw_fasta").mkdir()
+    (tmp_path / "raw_fasta" / "u.fas").write_text(">A\nACGT\n>B\nAC\n")
+    return str(tmp_path / "raw_fasta")
+
+
 def test_genomics(at, tmp_path, spark):
     folder = tmp_path / "raw"
     folder.mkdir()
@@ -105,8 +120,18 @@ def test_genomics(at, tmp_path, spark):
     (tmp_path / "maf" / "m.maf").write_text("a score=1\ns hg.chr1 10 2 + 99 AC\ns mm.chr1 1 2 + 99 AG\n\na score=2\ns hg.chr1 50 2 + 99 GG\n")
     (tmp_path / "b.bed").write_text("chr1\t10\t20\tgene\n")
     assert len(at("maf", "convert", str(tmp_path / "maf"), "x1")) == 2
-    named = at("maf", "convert", str(tmp_path / "maf"), "x2", "--reference", str(tmp_path / "b.bed"))
-    assert [p.rsplit("/", 2)[-2:] for p in named] == [["x2", "gene-chr1-10-20.nex"], ["missing-refs", "hg_chr1.nex"]]
+    named = at("maf", "convert", str(tmp_path / "maf"), "x2", "--reference", str(tmp_path / "b.bed"), "--from-bed")
+    assert [p.rsplit("/", 2)[-2:] for p in named] == [["x2", "gene-chr1-10-20.fas"], ["missing-refs", "hg_chr1.fas"]]
     (tmp_path / "p.txt").write_text("DNA, a = 1-5\nDNA, b = 6-10\nDNA, c = 11-15\n")
     conv = lambda out, *more: open(main(["partition", "convert", "-i", str(tmp_path / "p.txt"), "-o", str(tmp_path / out), "-P", "raxml", *more], spark)[0]).read().count("\n")
     assert conv("q1") == 3 and conv("q2", "--codon") == 9
+    (tmp_path / "my_p.txt").write_text("DNA, z = 1-7\n")  # a name that ends like the other's
+    both = main(["partition", "convert", "-i", str(tmp_path / "p.txt"), str(tmp_path / "my_p.txt"), "-o", str(tmp_path / "q3"), "-P", "raxml"], spark)
+    assert {os.path.basename(p): open(p).read().count("\n") for p in both} == {"my_p_partition.txt": 1, "p_partition.txt": 3}
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "packed" / "r.bin").write_bytes(gzip.compress(b"@a\nAC\n+\nII\n"))
+    (tmp_path / "packed" / "c.bin").write_bytes(gzip.compress(b">x\nACGT\n>y\nGG\n"))
+    one = main(["read", "summary", "-i", str(tmp_path / "packed" / "r.bin"), "-f", "gzip", "-o", str(tmp_path / "g1"), "--mode", "minimal"], spark)
+    assert table(one[0])[1][1:] == ["r.bin", "1"]
+    two = main(["contig", "summary", "-i", str(tmp_path / "packed" / "c.bin"), "-f", "gzip", "-o", str(tmp_path / "g2")], spark)
+    assert table(two[0])[1][2:4] == ["2", "6"]

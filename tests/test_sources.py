@@ -1,6 +1,7 @@
 """Files of each format: what they parse to, what must fail, and round trips through the writers."""
 
 import gzip
+import io
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,39 +60,46 @@ def test_partition_text():
             parsers.check_contiguous(bad)
     with pytest.raises(parsers.FormatError):
         parsers.partition("DNA, lo cus = 1-5", "raxml")
+    assert parsers.partition("locus_subset1 = 1-100\nlocus_subset2 = 101-200", "raxml") == [("locus_subset1", 1, 100), ("locus_subset2", 101, 200)]
+    assert parsers.partition("\n".join(f"g_codon{k} = {k}-30\\3" for k in (1, 2, 3)) + "\nh = 31-40", "raxml") == [("g_codon1", 1, 30), ("h", 31, 40)]
+    assert parsers.partition("a = 1-9\na = 1-9\nb_2ndPos.x = 10-12\\3", "raxml") == [("a", 1, 9), ("a", 1, 9), ("b_x", 10, 12)]
+    for empty in ("", "\n\n", "#nexus\nbegin sets;\nend;\n"):
+        for fmt in ("raxml", "nexus"):
+            with pytest.raises(parsers.FormatError, match="no part"):
+                parsers.partition(empty, fmt)
     for fmt in sinks.PARTITION_FORMATS:
         assert parsers.partition(sinks.partition_text(want, fmt), "raxml" if fmt.startswith("raxml") else "nexus") == want
     assert sinks.partition_text(want, "raxml-codon").count("\n") == 9 and sinks.partition_text([("a-b", 1, 2)], "nexus") == "#nexus\nbegin sets;\ncharset 'a-b' = 1-2;\nend;\n"
 
 
-MAF = """track name=euArc description="Primate chromosomes" visibility=pack
-##maf version=1 scoring=tba.v8
-# tba.v8 (((human chimp) baboon) (mouse rat))
-a score=23262.0
-s hg18.chr7    27578828 38 + 158545518 AAA-GGGAATG
-s panTro1.chr6 28741140 38 + 161576975 AAA-GGGAATG
-q panTro1.chr6 9999
-i panTro1.chr6 N 0 C 4
+MAF = """track name=own description="Three beetles" visibility=pack
+##maf version=1 scoring=none
+# (ref (near far))
+a score=77.5
+s ref.two   100 9 + 5000 ACG-TTGAAC
+s near.nine 220 9 + 4100 ACG-TTGAAC
+q near.nine 8876
+i near.nine N 0 C 3
 
-a score=5062.0
-s hg18.chr7    27699739 6 + 158545518 TAAAGA
-e mm4.chr6     53310102 13 + 151104725 I
+a score=12.0
+s ref.two   400 5 + 5000 GGTCA
+e far.one   31 13 + 900 I
 a
-s hg18.chr7    27707221 13 + 158545518 gcagctgaaaaca"""
+s ref.two   700 4 + 5000 ttag"""
 
 
 def test_maf_text():
     found = list(parsers.maf(iter(MAF.splitlines())))
     assert [x["kind"] for x in found] == ["track", "header", "comment", "block", "block", "block"]
-    assert found[0]["fields"]["description"] == "Primate chromosomes" and found[1]["fields"] == {"version": "1", "scoring": "tba.v8"}
-    assert [x["score"] for x in found[3:]] == [23262.0, 5062.0, None] and [len(x["sequences"]) for x in found[3:]] == [2, 1, 1]
-    assert found[3]["quality"]["values"] == list("9999") and found[3]["information"]["right_count"] == 4 and found[4]["empty"]["start"] == 53310102
+    assert found[0]["fields"]["description"] == "Three beetles" and found[1]["fields"] == {"version": "1", "scoring": "none"}
+    assert [x["score"] for x in found[3:]] == [77.5, 12.0, None] and [len(x["sequences"]) for x in found[3:]] == [2, 1, 1]
+    assert found[3]["quality"]["values"] == list("8876") and found[3]["information"]["right_count"] == 3 and found[4]["empty"]["start"] == 31
 
 
 def test_maf_frame(spark, tmp_path):
     path = put(tmp_path, "x.maf", MAF)
     got = files.scan_maf(spark, [path]).orderBy("block_idx").collect()
-    assert [r.score for r in got] == [23262.0, 5062.0, None] and got[0].sequences[1].source == "panTro1.chr6" and got[0].path == path
+    assert [r.score for r in got] == [77.5, 12.0, None] and got[0].sequences[1].source == "near.nine" and got[0].path == path
     assert {r.kind for r in files.scan_maf_meta(spark, [path]).collect()} == {"track", "header", "comment"}
 
 
@@ -161,6 +169,9 @@ def test_fastq(spark, tmp_path):
         got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
         assert [(r["name"], r["seq"], r["qual"]) for r in got] == want
         assert [r["read_idx"] for r in got] == sorted({r["read_idx"] for r in got})
+    for block in (1, 3, 16, 1000):
+        found = [(h, s, q) for _, *cols in ranges.records(io.BytesIO(text.encode()), 0, ranges.ENDLESS, True, block) for h, s, q in zip(*(c.to_pylist() for c in cols))]
+        assert found == want
     packed = tmp_path / "r2.fq.gz"
     packed.write_bytes(gzip.compress(fastq_text(1).encode()) + gzip.compress(fastq_text(2).replace("\n", "\r\n").encode()))
     df = files.scan_fastq(spark, files.input_paths(spark, ["fastq"], str(tmp_path)), split_bytes=64)
