@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from phylospark.runtime import materialize
 
+#: A key of the left side is hot with more rows than this, and more than one HOT_PART of all: so there are less than HOT_PART hot keys.
+HOT_ROWS = 100_000
+HOT_PART = 10_000
+#: Copies of the right side's rows of a hot key, over which the left side's rows with that key are spread.
+SALTS = 32
+
 
 def join_same(left: DataFrame, right: DataFrame, cols: list[str], how: str = "left", small: bool = False) -> DataFrame:
     """Join on null-safe equality of the columns; the result has each of them once. small: right has a proven size bound."""
@@ -58,3 +64,24 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     flagged = left.join(F.broadcast(many.drop(weight).withColumn("_hot", F.lit(True))), keys, "left")
     cold = flagged.filter("_hot is null").select(*left.columns).join(right.filter(F.col(weight) <= hot).drop(weight), keys)
     return flagged.filter("_hot").drop("_hot").unionByName(cold)
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """_hot: the keys that so many rows have that they must be spread; less than HOT_PART, whatever the data. Counted in each task before the shuffle."""
+    counts = materialize(df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")), "key_counts")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return counts.filter(F.col("_n") > max(hot_rows, total // HOT_PART)).select("_hot")
+
+
+def semi_join(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "left_semi", fits: Column | None = None, small: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of left that have (how = 'left_semi') or lack ('left_anti') a row of right with their key, for which `fits` holds. Column names of the two
+    must differ. small: right has a proven size bound and is sent to all; else both are shuffled by key, and only keys that are hot on the left are spread."""
+    fits = F.lit(True) if fits is None else fits
+    if small:
+        return left.join(F.broadcast(right), (F.col(key) == F.col(right_key)) & fits, how)
+    hot = F.broadcast(hot_keys(left, key, hot_rows))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).cast("int")
+    salted = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    right = right.join(hot, F.col(right_key) == F.col("_hot"), "left").withColumn("_salt_r", F.explode(copies)).drop("_hot")
+    return salted.join(right, (F.col(key) == F.col(right_key)) & (F.col("_salt") == F.col("_salt_r")) & fits, how).drop("_salt")

@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospark.functions.ids import id_key
-from phylospark.operators import intervals, orphans, rejects
+from phylospark.operators import orphans, rejects
+from phylospark.runtime import filesystem
+from phylospark.streaming import intervals as interval_stream
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream of its files; it is a folder with files, or one file, which then is picked out of its folder."""
+    path = f"{folder}/{name}.parquet"
+    fs, p = filesystem(spark, path)
+    source = spark.readStream.schema(table(spark, folder, name).schema)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if fs.getFileStatus(p).isFile() else source.parquet(path)
+
+
 # --- 1: rows that fail to parse
 
 
@@ -67,7 +77,7 @@ bed_ok as (select *, len(f) between 3 and 12 and not contains(x, '"') and regexp
 # --- 4: references to records that do not exist
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _orphans(spark: SparkSession, folder: str, inherited: bool = True) -> DataFrame:
     keyed = lambda name, col, *more: table(spark, folder, name).select(id_key(F.col(col)).alias("id"), *more)
     tables = {
         "taxa": keyed("taxa", "taxon", "registered_at", "deleted_at"),
@@ -80,13 +90,14 @@ def _orphans(spark: SparkSession, folder: str) -> DataFrame:
         orphans.Reference("sequences", "id", "taxa", "id", **timed),
         orphans.Reference("rename_map", "id", "taxa", "id", **timed),
         orphans.Reference("taxon_records", "id", "sequences", "id"),  # a dataset's record of a taxon stands on that taxon's sequences
-    ]
+    ][: 3 if inherited else 2]
     children = ["sequences", "rename_map", "taxon_records"]
-    return orphans.orphans(tables, dict.fromkeys(children, "row_id"), references, carry=dict.fromkeys(children, ["loaded_at"]))
+    return orphans.orphans(tables, dict.fromkeys(children, "row_id"), references, carry=dict.fromkeys(children, ["loaded_at"]), inherited=inherited)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).filter("kind = 'direct' and table_name <> 'taxon_records'").select("table_name", "row_id")
+    """The cases are the orphans of the fixpoint's round 0; what inherits from them is in p4_orphans."""
+    return _orphans(spark, folder, inherited=False).select("table_name", "row_id")
 
 
 def p4_orphans(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,9 +128,14 @@ found as (
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = table(spark, folder, "partitions").filter("part_start >= 1").select(F.lit("partitions").alias("table_name"), F.col("aln_path").alias("path"), F.lit("").alias("chrom"), F.col("part_start").alias("first"), F.col("part_end").alias("last"))
-    beds = table(spark, folder, "bed_records").filter("chrom is not null").select(F.lit("bed_records").alias("table_name"), "path", "chrom", F.col("chrom_start").alias("first"), (F.col("chrom_end") - 1).alias("last"))
-    found = intervals.merge(parts.unionByName(beds), ["table_name", "path", "chrom"], "first", "last")
+    """Both tables run as a stream through the interval maps in keyed state."""
+    def rows(read: Callable[[str], DataFrame]) -> DataFrame:
+        parts = read("partitions").filter("part_start >= 1").select(F.lit("partitions").alias("table_name"), F.col("aln_path").alias("path"), F.lit("").alias("chrom"), F.col("part_start").alias("first"), F.col("part_end").alias("last"))
+        beds = read("bed_records").filter("chrom is not null").select(F.lit("bed_records").alias("table_name"), "path", "chrom", F.col("chrom_start").alias("first"), (F.col("chrom_end") - 1).alias("last"))
+        return parts.unionByName(beds)
+
+    static = rows(lambda name: table(spark, folder, name))
+    found = interval_stream.merged(rows(lambda name: stream(spark, folder, name)), static, ["table_name", "path", "chrom"], "first", "last")
     return found.withColumn("to_pos", F.col("to_pos") + F.when(F.col("table_name") == "bed_records", 1).otherwise(0)).select("table_name", "path", "chrom", "kind", "from_pos", "to_pos")
 
 

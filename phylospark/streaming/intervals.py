@@ -1,44 +1,86 @@
-"""Intervals that arrive in a stream: one ordered map of disjoint intervals per entity in keyed state.
+"""Intervals that arrive in a stream: ordered maps of disjoint intervals in keyed state.
 
-Each micro-batch inserts its intervals; what is written is, for each entity that changed, its periods and gaps as they are now, with a
-version that counts the entity's changes, so that a sink keeps the rows of the newest version. The state of an entity is as large as its number of
-periods, not of its intervals. An entity may be split by `tile` (a width of positions): then each tile of it has a state of its own,
-intervals that cross a tile's border are cut there, and periods that meet at a border are to be joined by `operators.intervals.merge`.
+The key is the shard of an entity (see `operators.intervals.Shards`), its state the maps of the shard's entities. Each micro-batch merges its
+rows, then inserts what is left: an insertion finds the periods that it touches by binary search. What is written is, for each entity that
+changed in a shard, its periods there as they are now, with the end of the one before (so with the gaps) and a version that grows; a reader takes an entity's
+newest version of each shard. The state is as large as the number of periods, not of intervals.
+
+`merged` runs a stream over what its sources have now and returns the result of `operators.intervals.merge`.
 """
 
 from __future__ import annotations
 
+import json
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from phylospark.operators.intervals import IntervalMap
-
-OUT = "entity string, tile bigint, version bigint, kind string, from_pos bigint, to_pos bigint"
-STATE = "version bigint, starts array<bigint>, ends array<bigint>"
-
-
-def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    version, starts, ends = state.get if state.exists else (0, [], [])
-    held = IntervalMap(list(starts), list(ends))
-    for b in batches:
-        for s, e in zip(b["start"], b["end"]):
-            held.insert(int(s), int(e))
-    state.update((version + 1, held.starts, held.ends))
-    rows = [("period", a, b) for a, b in held.periods()] + [("gap", a, b) for a, b in held.gaps()]
-    yield pd.DataFrame({"entity": key[0], "tile": key[1], "version": version + 1, "kind": [r[0] for r in rows], "from_pos": [r[1] for r in rows], "to_pos": [r[2] for r in rows]})
-
-
-def merge_stream(stream: DataFrame, entity: str, start: str, end: str, tile: int | None = None) -> DataFrame:
-    """The changing periods and gaps of a stream of intervals with both ends included. Inverted intervals and those with a null end are left out."""
-    rows = stream.filter(F.col(start) <= F.col(end)).select(F.coalesce(F.col(entity).cast("string"), F.lit("")).alias("entity"), F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end"))
-    if tile:
-        first, last = F.floor(F.col("start") / tile).cast("bigint"), F.floor(F.col("end") / tile).cast("bigint")
-        rows = rows.withColumn("tile", F.explode(F.sequence(first, last)))
-        rows = rows.withColumns({"start": F.greatest("start", F.col("tile") * tile), "end": F.least("end", (F.col("tile") + 1) * tile - 1)})
-    else:
-        rows = rows.withColumn("tile", F.lit(0).cast("bigint"))
-    return rows.groupBy("entity", "tile").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+from phylospark.operators import intervals
+from phylospark.operators.intervals import IntervalMap, Maps, Shards
+from phylospark.operators.ranges import join_same
+from phylospark.runtime import scratch_path
+
+STATE = "version bigint, maps binary"
+
+
+def packed(maps: Maps) -> bytes:
+    """The maps as bytes: keys and sizes as JSON, then all starts and all ends."""
+    head = json.dumps([[list(k), len(m.starts)] for k, m in maps.by.items()]).encode()
+    numbers = np.array([*(s for m in maps.by.values() for s in m.starts), *(e for m in maps.by.values() for e in m.ends)], dtype=np.int64)
+    return struct.pack("<q", len(head)) + head + numbers.tobytes()
+
+
+def unpacked(data: bytes) -> Maps:
+    maps = Maps()
+    (n,) = struct.unpack_from("<q", data)
+    numbers = np.frombuffer(data, dtype=np.int64, offset=8 + n) if (len(data) - 8 - n) % 8 == 0 else np.frombuffer(data[8 + n :], dtype=np.int64)
+    at, half = 0, len(numbers) // 2
+    for key, size in json.loads(data[8 : 8 + n]):
+        maps.by[tuple(key)] = IntervalMap(numbers[at : at + size].tolist(), numbers[half + at : half + at + size].tolist())
+        at += size
+    return maps
+
+
+def merge_stream(stream: DataFrame, keys: list[str], start: str, end: str, shards: Shards | None = None) -> DataFrame:
+    """version and the columns of `intervals.piece_columns`, for the periods of the entities that a micro-batch changed. Intervals have both ends
+    included; inverted ones and those with a null end are left out. shards: of `intervals.plan_shards`, or how many there are to be."""
+    n = len(keys)
+    columns = [f"k{i}" for i in range(n)]
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, held = state.get if state.exists else (0, None)
+        maps = unpacked(bytes(held)) if held else Maps()
+        for b in batches:
+            maps.insert([pa.array(b[c], pa.string(), from_pandas=True) for c in columns], b["_from"].to_numpy(np.int64), b["_to"].to_numpy(np.int64))
+        state.update((version + 1, packed(maps)))
+        names, values = maps.pieces()
+        yield pd.DataFrame({"version": version + 1, "_shard": np.full(len(values["_from"]), key[0]), **dict(zip(columns, names)), **values})
+
+    rows = intervals.partial(intervals._shaped(stream, keys, start, end), n, shards or Shards(200))
+    return rows.groupBy("_shard").applyInPandasWithState(update, f"version bigint, {intervals.piece_ddl(n)}", STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def newest(pieces: DataFrame, n_keys: int) -> DataFrame:
+    """The pieces of each entity's newest version in each shard."""
+    if pieces.agg(F.coalesce(F.max("version"), F.lit(1))).first()[0] > 1:
+        by = ["_shard", *(f"k{i}" for i in range(n_keys))]
+        last = pieces.groupBy(*by).agg(F.max("version").alias("_last"))
+        pieces = join_same(pieces, last, by).filter(F.col("version") == F.col("_last")).drop("_last")
+    return pieces.drop("version")
+
+
+def merged(stream: DataFrame, static: DataFrame, keys: list[str], start: str, end: str, shard_rows: int = intervals.SHARD_ROWS) -> DataFrame:
+    """The periods and gaps of all that the stream's sources have now, as `intervals.merge` gives them. static: the same rows as a table, by which
+    the shards are planned. The stream's checkpoint, with the keyed state, and its output are in the shared folder."""
+    shards = intervals.plan_shards(static, keys, start, end, shard_rows)
+    out, at = scratch_path(stream.sparkSession, "interval_pieces"), scratch_path(stream.sparkSession, "interval_state")
+    pieces = merge_stream(stream, keys, start, end, shards)
+    pieces.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = stream.sparkSession.read.schema(pieces.schema).parquet(out)
+    return intervals.finish(newest(found, len(keys)), static, keys, shards)

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from phylospark.operators.intervals import IntervalMap, merge
+from phylospark.operators.intervals import IntervalMap, disjoint, merge
 
 
 def plain(pairs):
@@ -30,6 +31,21 @@ def test_map(items):
     assert (m.periods(), m.gaps()) == plain(pairs)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(-30, 60), st.integers(0, 9))))
+def test_disjoint(items):
+    code, start, end = disjoint(*(np.array(x, dtype=np.int64) for x in ([k for k, _, _ in items], [s for _, s, _ in items], [s + n for _, s, n in items])))
+    for k in range(3):
+        mine = code == k
+        assert list(zip(start[mine].tolist(), end[mine].tolist())) == plain([(s, s + n) for c, s, n in items if c == k])[0]
+
+
+def test_disjoint_far():
+    low, high = -(2**63), 2**63 - 1
+    code, start, end = disjoint(np.zeros(3, dtype=np.int64), np.array([low, high - 1, 5]), np.array([low, high, 6]))
+    assert list(zip(start.tolist(), end.tolist())) == [(low, low), (5, 6), (high - 1, high)]
+
+
 def expected(rows):
     by = {}
     for k, s, e in rows:
@@ -53,7 +69,7 @@ def test_merge(spark, seed):
     spark.conf.set("spark.sql.shuffle.partitions", 7)
     try:
         df = spark.createDataFrame(rows, "chrom string, s long, e long").repartition(5).withColumn("kind", df_lit())
-        got = [tuple(r) for r in merge(df, ["chrom"], "s", "e").collect()]
+        got = [tuple(r) for r in merge(df, ["chrom"], "s", "e", shard_rows=[40, 200, 1000, 100][seed]).collect()]
         assert len(got) == len(set(got)) and set(got) == expected(rows)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)

@@ -1,37 +1,36 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from phylospark.operators.genomics import read_summary
-from phylospark.operators.intervals import merge
-from phylospark.streaming.intervals import merge_stream
+from phylospark.operators.intervals import Maps, merge
+from phylospark.streaming.intervals import merged, packed, unpacked
 from phylospark.streaming.reads import read_stream, summary_stream, windowed_counts
 
 
-def newest(spark, name):
-    rows = spark.sql(f"select * from {name}").collect()
-    last = {}
-    for r in rows:
-        last[r.entity, r.tile] = max(r.version, last.get((r.entity, r.tile), 0))
-    return [r for r in rows if r.version == last[r.entity, r.tile]]
-
-
 def test_interval_state(spark, tmp_path):
-    """Several files, one a micro-batch: the state ends as the batch operator's result; so do tiles, once merged."""
+    """Several files, one a micro-batch: the state ends as the batch operator's result, with an entity in one shard or in several; null and '' are two entities."""
     rng = random.Random(1)
-    data = [(rng.choice(["a", "a", "b"]), s := rng.randint(1, 300), s + rng.choice([-2, 0, 4, 30])) for _ in range(120)] + [("a", None, 3)]
+    data = [(rng.choice(["a", "a", "a", "b", None, ""]), s := rng.randint(1, 300), s + rng.choice([-2, 0, 4, 30])) for _ in range(120)] + [("a", None, 3)]
     df = spark.createDataFrame(data, "e string, s long, t long")
-    for k in range(4):
-        df.filter(F.pmod(F.hash("s", "t"), F.lit(4)) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for k in range(3):
+        df.filter(F.pmod(F.hash("s", "t"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     want = {tuple(r) for r in merge(df, ["e"], "s", "t").collect()}
-    for name, tile in (("whole", None), ("tiled", 64)):
+    assert {r[0] for r in want} == {"a", "b", None, ""}
+    for rows in (1000, 15):
         stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        q = merge_stream(stream, "e", "s", "t", tile).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
-    assert {(r.entity, r.kind, r.from_pos, r.to_pos) for r in newest(spark, "whole")} == want
-    parts = spark.createDataFrame([(r.entity, r.from_pos, r.to_pos) for r in newest(spark, "tiled") if r.kind == "period"], "e string, s long, t long")
-    assert {tuple(r) for r in merge(parts, ["e"], "s", "t").collect()} == want
+        got = [tuple(r) for r in merged(stream, df, ["e"], "s", "t", shard_rows=rows).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_packed():
+    m = Maps()
+    m.insert([pa.array(["x", None, "", "é", "x"])], np.array([1, 5, 2, 0, 9]), np.array([3, 6, 2, 0, 9]))
+    back = unpacked(packed(m))
+    assert {k: v.periods() for k, v in back.by.items()} == {("x",): [(1, 3), (9, 9)], (None,): [(5, 6)], ("",): [(2, 2)], ("é",): [(0, 0)]}
+    assert unpacked(packed(Maps())).by == {}
 
 
 def test_read_streams(spark, tmp_path):
