@@ -73,15 +73,16 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     return counts.filter(F.col("_n") > max(hot_rows, total // HOT_PART)).select("_hot")
 
 
-def semi_join(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "left_semi", fits: Column | None = None, small: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The rows of left that have (how = 'left_semi') or lack ('left_anti') a row of right with their key, for which `fits` holds. Column names of the two
+def join_skewed(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "left_semi", fits: Column | None = None, small: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join on key = right_key and `fits`, 'inner' (without right_key in the result), 'left_semi' or 'left_anti'. Column names of the two
     must differ. small: right has a proven size bound and is sent to all; else both are shuffled by key, and only keys that are hot on the left are spread."""
     fits = F.lit(True) if fits is None else fits
     if small:
-        return left.join(F.broadcast(right), (F.col(key) == F.col(right_key)) & fits, how)
+        return left.join(F.broadcast(right), (F.col(key) == F.col(right_key)) & fits, how).drop(*[right_key] * (how == "inner"))
     hot = F.broadcast(hot_keys(left, key, hot_rows))
     salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).cast("int")
     salted = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     right = right.join(hot, F.col(right_key) == F.col("_hot"), "left").withColumn("_salt_r", F.explode(copies)).drop("_hot")
-    return salted.join(right, (F.col(key) == F.col(right_key)) & (F.col("_salt") == F.col("_salt_r")) & fits, how).drop("_salt")
+    joined = salted.join(right, (F.col(key) == F.col(right_key)) & (F.col("_salt") == F.col("_salt_r")) & fits, how)
+    return joined.drop("_salt", *["_salt_r", right_key] * (how == "inner"))
