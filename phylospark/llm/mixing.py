@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.operators.ranges import running_sum
+from phylospark.operators.ranges import HOT_ROWS, join_skewed, running_sum
 from phylospark.runtime import is_small, materialize
 
-#: Most targets (one a mix and source) that are sent to all executors.
+#: Most targets (one a mix and source) that are sent to all executors; with more, they meet the records by a shuffle in which hot sources are spread.
 MAX_TARGETS = 100_000
 
 
@@ -42,18 +42,17 @@ def budgets(available: DataFrame, targets: DataFrame, total: int | None = None)
     return have.join(sums, "mix_name").withColumn("budget", budget).drop("_total")
 
 
-def mix(records: DataFrame, record: str, source: str, size: str, targets: DataFrame, total: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(records: DataFrame, record: str, source: str, size: str, targets: DataFrame, total: int | None = None, seed: int = 0, sent: int = MAX_TARGETS, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """The draws (mix_name, record, source, size, n_uses) and the report (mix_name, source, target_share, max_repeats, available, budget,
     drawn, actual_share, n_records, max_uses)."""
     targets = targets.select("mix_name", "source", "target_share", "max_repeats").filter("mix_name is not null and source is not null")
-    if not is_small(targets, MAX_TARGETS):
-        raise ValueError(f"more than {MAX_TARGETS} targets")
+    small = is_small(targets, sent)
     rows = records.filter(F.col(source).isNotNull() & F.col(size).isNotNull()).select(F.col(record).alias("record"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size"))
-    rows = rows.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").withColumn("_key", F.xxhash64(F.lit(seed), F.col("record")))
+    rows = join_skewed(rows, "source", targets.select(F.col("source").alias("_target")).distinct(), "_target", "left_semi", small=small, hot_rows=hot_rows).withColumn("_key", F.xxhash64(F.lit(seed), F.col("record")))
     summed = materialize(running_sum(rows, ["source"], ["_key", "record"], "size", out="_upto", cut="mix"), "mix")
     have = summed.groupBy("source").agg(F.max("_upto").alias("available"))
     plan = materialize(budgets(have, targets, total), "budgets")  # as many rows as there are targets
-    joined = summed.join(F.broadcast(plan), "source")
+    joined = join_skewed(summed, "source", plan.withColumnRenamed("source", "_target"), "_target", "inner", small=small, hot_rows=hot_rows)
     epochs = F.floor(F.col("budget") / F.col("available")).cast("bigint")
     epochs = F.when(F.col("available") > 0, epochs).otherwise(0)
     rest = F.col("budget") - epochs * F.col("available")

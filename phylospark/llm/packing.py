@@ -1,8 +1,8 @@
 """Items of varying sizes into containers of a fixed capacity.
 
-Only the sizes decide how well items fit, and there are at most `capacity` different ones. So the packing is planned on the
-counts of items by size (a table bounded by the capacity, whatever the number of items), and then each item finds its
-container by its rank among the items of its size, with ranks from distributed running sums.
+Only the sizes decide how well items fit, and there are few different ones, no more than the longest item is long. So the packing is planned on the
+counts of items by size, and then each item finds its container by its rank among the items of its size. The ranks, from distributed running sums,
+do not depend on the capacity: one sort serves any number of capacities. Each piece of an item above the capacity gets its rank from the item's by the counts.
 
 The plan: an item larger than the capacity is split into pieces of the full capacity and a rest; no other is split. Sizes above
 a third of the capacity are large: at most two of them go into a container, paired greedily, the largest with the largest that
@@ -16,15 +16,20 @@ others; negative sizes raise; equal sizes are ranked by the items' ids, which mu
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.operators.ranges import running_sum
 from phylospark.runtime import materialize
 
+#: Sizes whose steps are sent to the executors at once. More capacities than these have sizes for go by several passes.
+SENT_SIZES = 2_000_000
+
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
     """Steps (size, first rank, first container, items a container) and the number of containers, for counts of items by size (1 to capacity).
@@ -100,37 +105,104 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return steps, made
 
 
+class Placement:
+    """Where the items of each size go with a capacity: the plan as arrays, for look-ups by size and rank."""
+
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.capacity = capacity
+        left = {s: n for s, n in counts.items() if 0 < s <= capacity}
+        #: By size above the capacity: the rank of its first whole piece, and that of its first rest.
+        self.whole: dict[int, int] = {}
+        self.rest: dict[int, int] = {}
+        for s in sorted(x for x in counts if x > capacity):
+            self.whole[s], left[capacity] = left.get(capacity, 0), left.get(capacity, 0) + counts[s] * (s // capacity)
+            if r := s % capacity:
+                self.rest[s], left[r] = left.get(r, 0), left.get(r, 0) + counts[s]
+        steps, made = plan(left, capacity)
+        self.made = max(made, 1)
+        by = np.array(sorted(steps), dtype=np.int64).reshape(-1, 4)
+        self.rank, self.first, self.each = by[:, 1], by[:, 2], by[:, 3]
+        self.sizes, self.at = np.unique(by[:, 0], return_index=True)
+        self.at = np.concatenate([self.at, [len(by)]]).astype(np.int64)
+
+    def container(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The container of each item of a size from 1 to the capacity: its step is the last that begins by its rank, found by bisection within the size's steps."""
+        k = np.searchsorted(self.sizes, size)
+        low, high = self.at[k], self.at[k + 1]
+        while (high - low > 1).any():
+            middle = (low + high) // 2
+            up = (high - low > 1) & (self.rank[np.minimum(middle, len(self.rank) - 1)] <= rank)
+            low, high = np.where(up, middle, low), np.where((high - low > 1) & ~up, middle, high)
+        return self.first[low] + (rank - self.rank[low]) // self.each[low]
+
+    def pieces(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For items: which of them, piece, size and container of each piece."""
+        cap = self.capacity
+        n = np.maximum(-(-size // cap), 1)
+        of = np.repeat(np.arange(len(size)), n)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        s, r = size[of], rank[of]
+        part = np.minimum(cap, s - piece * cap)
+        large = s > cap
+        if large.any():
+            full = large & (part == cap)
+            r[full] = np.array([self.whole[x] for x in s[full].tolist()], dtype=np.int64) + r[full] * (s[full] // cap) + piece[full]
+            last = large & ~full
+            r[last] += np.array([self.rest[x] for x in s[last].tolist()], dtype=np.int64)
+        out = r % self.made  # for size 0
+        some = part > 0
+        out[some] = self.container(part[some], r[some])
+        return of, piece, part, out
+
+
+def ranked(items: DataFrame, item: str, size: str) -> DataFrame:
+    """item, size, _rank (from 0, among the items of the size, by their ids). A size may have any share of the items."""
+    s = F.col(size).cast("bigint")
+    whole = items.filter(s.isNotNull()).select(F.col(item).alias("item"), F.when(s < 0, F.raise_error(F.lit("a negative size"))).otherwise(s).alias("size"), F.lit(1).cast("bigint").alias("_one"))
+    sums = running_sum(whole, ["size"], ["item"], "_one", out="_rank", cut="sizes")
+    return materialize(sums.select("item", "size", (F.col("_rank") - 1).alias("_rank")), "ranks")
+
+
+def pack_all(items: DataFrame, item: str, size: str, packs: Iterable[tuple[str, int]]) -> DataFrame:
+    """pack_name, capacity, item, piece (0, 1, ..), size, container_id (from 0) for each named capacity: where each item, or piece of an item above the
+    capacity, goes. The items are sorted once and read once for as many capacities as have SENT_SIZES sizes."""
+    ranks = ranked(items, item, size)
+    counts = {r.size: r.n for r in ranks.groupBy("size").agg(F.count("*").alias("n")).collect()}  # a row for each different size
+    kind = ranks.schema["item"].dataType.simpleString()
+    ddl = f"pack_name string, capacity int, item {kind}, piece bigint, size bigint, container_id bigint"
+    out: list[DataFrame] = []
+    held: list[tuple[str, Placement]] = []
+
+    def passed() -> None:
+        known = items.sparkSession.sparkContext.broadcast(list(held))  # bounded by SENT_SIZES and the sizes of one capacity
+        held.clear()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                s, r = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:3])
+                for name, place in known.value:
+                    of, piece, part, container = place.pieces(s, r)
+                    cols = [pa.array([name] * len(of), pa.string()), pa.array(np.full(len(of), place.capacity, dtype=np.int32)), b.column(0).take(pa.array(of))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(piece), pa.array(part), pa.array(container)], names=["pack_name", "capacity", "item", "piece", "size", "container_id"])
+
+        out.append(ranks.mapInArrow(run, ddl))
+
+    sent = 0
+    for name, capacity in packs:
+        place = Placement(counts, capacity)
+        held.append((name, place))
+        sent += len(place.rank) + len(place.whole)
+        if sent > SENT_SIZES:
+            passed()
+            sent = 0
+    if held or not out:
+        passed()
+    return reduce(DataFrame.unionByName, out)
+
+
 def pack(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
-    """item, piece (0, 1, ..), size, container_id (from 0): where each item, or piece of an item above the capacity, goes."""
-    whole = items.filter(F.col(size).isNotNull()).select(F.col(item).alias("item"), F.col(size).cast("bigint").alias("_size"))
-    cap = F.lit(capacity)
-    whole = whole.withColumn("_size", F.when(F.col("_size") < 0, F.raise_error(F.lit("a negative size"))).otherwise(F.col("_size")))
-    last = F.when(F.col("_size") > 0, F.floor((F.col("_size") - 1) / cap)).otherwise(0).cast("bigint")
-    pieces = whole.select("item", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"), "_size")
-    pieces = pieces.select("item", "piece", F.least(cap, F.col("_size") - F.col("piece") * cap).cast("bigint").alias("size"))
-    ranked = running_sum(pieces.withColumn("_one", F.lit(1).cast("bigint")), ["size"], ["item", "piece"], "_one", out="_rank", cut="sizes")
-    ranked = materialize(ranked.select("item", "piece", "size", (F.col("_rank") - 1).alias("_rank")), "ranks")
-    counts = {r.size: r.n for r in ranked.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
-    steps, made = plan(counts, capacity)
-    by_size: dict[int, list[tuple[int, int, int]]] = {}
-    for s, r, first, each in steps:
-        by_size.setdefault(s, []).append((r, first, each))
-    table = {s: tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(v))) for s, v in by_size.items()}
-    known = items.sparkSession.sparkContext.broadcast((table, max(made, 1)))  # bounded by the capacity, not by the items
-
-    @F.pandas_udf("bigint")
-    def container(sizes: pd.Series, ranks: pd.Series) -> pd.Series:
-        table, made = known.value
-        s, r = sizes.to_numpy(), ranks.to_numpy()
-        out = r % made  # for size 0
-        for one in np.unique(s[s > 0]):
-            at = s == one
-            starts, firsts, each = table[int(one)]
-            k = np.searchsorted(starts, r[at], side="right") - 1
-            out[at] = firsts[k] + (r[at] - starts[k]) // each[k]
-        return pd.Series(out)
-
-    return ranked.select("item", "piece", "size", container("size", "_rank").alias("container_id"))
+    """item, piece, size, container_id for one capacity."""
+    return pack_all(items, item, size, [("", capacity)]).select("item", "piece", "size", "container_id")
 
 
 def fills(packed: DataFrame, capacity: int, *keys: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phylospark.llm import copies, mixing, packing, quantiles, terms, truncation
 from phylospark.llm.tokens import token_count
-from phylospark.runtime import is_small, materialize, scratch_path
+from phylospark.runtime import materialize, scratch_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,16 +23,16 @@ RARE = {"taxon": 1, "symbol": 3}
 COMMON = {"taxon": (1, 10), "symbol": (9, 10)}
 
 
-def _term_changes(sequences: DataFrame, records: DataFrame) -> DataFrame:
-    """The changes by added rows of both tables."""
+def _term_changes(sequences: DataFrame, records: DataFrame, sign: int = 1) -> DataFrame:
+    """The changes by rows of both tables that are added (or, with sign -1, deleted)."""
     symbols = records.select(F.explode("char_counts").alias("symbol", "n")).filter("n > 0")
     return reduce(
         DataFrame.unionByName,
         [
-            terms.changes(sequences, "taxon", F.col("taxon"), record=F.col("locus")),
-            terms.totals(sequences, "taxon", record=F.col("locus")),
-            terms.changes(symbols, "symbol", F.col("symbol"), occurrences=F.col("n")),
-            terms.totals(records.filter("char_counts is not null"), "symbol"),
+            terms.changes(sequences, "taxon", F.col("taxon"), record=F.col("locus"), sign=sign),
+            terms.totals(sequences, "taxon", record=F.col("locus"), sign=sign),
+            terms.changes(symbols, "symbol", F.col("symbol"), occurrences=F.col("n"), sign=sign),
+            terms.totals(records.filter("char_counts is not null"), "symbol", sign=sign),
         ],
     )
 
@@ -44,11 +44,32 @@ def _terms(spark: SparkSession, folder: str) -> DataFrame:
     last = sequences.agg(F.max("loaded_at").alias("t")).unionByName(records.agg(F.max("loaded_at").alias("t"))).agg(F.date_trunc("month", F.max("t"))).first()[0]
     late = F.coalesce(F.col("loaded_at") >= F.lit(last), F.lit(True))
     store = terms.TermCounts(spark, scratch_path(spark, "terms"))
-    store.apply(_term_changes(sequences.filter(~late), records.filter(~late)))
-    store.apply(_term_changes(sequences.filter(late), records.filter(late)))
+    store.apply(_term_changes(sequences.filter(~late), records.filter(~late)), 0)
+    store.apply(_term_changes(sequences.filter(late), records.filter(late)), 1)
     return store.marked(RARE, COMMON)
 
 
+def _corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of all rows, then with two corrections as signed deltas: the rows loaded in the last month are deleted, and of the other
+    sequences those whose id rename_map has as an origin change it to the destination (the first by row_id)."""
+    sequences = table(spark, folder, "sequences").select("taxon", "locus", "loaded_at")
+    records = table(spark, folder, "taxon_records").select("char_counts", "loaded_at")
+    store = terms.TermCounts(spark, scratch_path(spark, "terms"))
+    store.apply(_term_changes(sequences, records), 0)
+    last = sequences.agg(F.date_trunc("month", F.max("loaded_at"))).first()[0]
+    late = F.coalesce(F.col("loaded_at") >= F.lit(last), F.lit(False))
+    store.apply(_term_changes(sequences.filter(late), records.filter(late), sign=-1), 1)
+    names = table(spark, folder, "rename_map").filter("origin is not null and destination is not null").groupBy(F.col("origin").alias("taxon")).agg(F.min_by("destination", "row_id").alias("new"))
+    moved = sequences.filter(~late).join(names, "taxon")
+    changed = [terms.changes(moved, "taxon", F.col(c), record=F.col("locus"), sign=n) for c, n in (("taxon", -1), ("new", 1))]
+    store.apply(changed[0].unionByName(changed[1]), 2)
+    return store.marked(RARE, COMMON)
+
+
+def p2_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    return _corrected(spark, folder).select("field", "term", "occurrences", "records", "mark")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return _terms(spark, folder).filter("mark is not null").select("field", "term", "mark")
 
@@ -66,6 +87,19 @@ c as (select field, term, occurrences, records, case when records = 1 then 'rare
 """
 
 
+_P2C = """
+with m as (select date_trunc('month', max(loaded_at)) as last from sequences),
+nm as (select origin, arg_min(destination, row_id) as new from rename_map where origin is not null and destination is not null group by origin),
+q as (select locus, coalesce(nm.new, taxon) as taxon from sequences left join nm on taxon = origin where loaded_at is null or loaded_at < (select last from m)),
+r as (select record_id, char_counts from taxon_records where char_counts is not null and (loaded_at is null or loaded_at < (select last from m))),
+t as (select 'taxon' as field, taxon as term, count(*) as occurrences, count(distinct locus) as records, (select count(distinct locus) from q) as total from q where taxon is not null group by taxon),
+e as (select record_id, unnest(map_entries(char_counts)) as kv from r),
+s as (select 'symbol' as field, kv.key as term, cast(sum(kv.value) as bigint) as occurrences, count(*) as records, (select count(*) from r) as total from e where kv.value > 0 group by kv.key)
+select field, term, occurrences, records, case when records = 1 then 'rare' when 10 * records > total then 'common' end as mark from t where records > 0
+union all select field, term, occurrences, records, case when records <= 3 then 'rare' when 10 * records > 9 * total then 'common' end from s
+"""
+
+
 # --- 3: percentiles of large numeric columns
 
 PER_MILLE = [50, 250, 500, 750, 900, 950, 990]
@@ -149,14 +183,10 @@ def _sized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    sized = _sized(spark, folder)
-    # pack_sizes is a table of settings: a packing for each of its few rows, each over all documents
-    sizes = table(spark, folder, "pack_sizes").filter("pack_name is not null and capacity_tokens > 0").distinct()
-    if not is_small(sizes, 1000):
-        raise ValueError("more than 1000 container sizes")
-    packs = sorted((r.pack_name, r.capacity_tokens) for r in sizes.collect())
-    made = [packing.pack(sized, "doc_id", "tokens", cap).select(F.lit(name).alias("pack_name"), F.lit(cap).alias("capacity"), "container_id", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens")) for name, cap in packs]
-    return reduce(DataFrame.unionByName, made)
+    """A packing for each row of pack_sizes, a table of settings, each over all documents."""
+    sizes = table(spark, folder, "pack_sizes").filter("pack_name is not null and capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().orderBy("pack_name", "capacity_tokens")
+    packed = packing.pack_all(_sized(spark, folder), "doc_id", "tokens", ((r.pack_name, r.capacity_tokens) for r in sizes.toLocalIterator()))
+    return packed.select("pack_name", "capacity", "container_id", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,6 +203,19 @@ def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("fill", F.col("used") / (F.col("capacity") * F.col("n_containers")))
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold, by pack: all documents with a text are placed, no token is lost, no container has more than its capacity, no document that fits is split."""
+    sized = _sized(spark, folder)
+    sizes = table(spark, folder, "pack_sizes").select("pack_name", "capacity_tokens").distinct()
+    packed = packing.pack_all(sized, "doc_id", "tokens", ((r.pack_name, r.capacity_tokens) for r in sizes.toLocalIterator()))
+    packed = materialize(packed, "packed")
+    keys = ["pack_name", "capacity"]
+    over = packed.groupBy(*keys, "container_id").agg(F.sum("size").alias("used")).groupBy(*keys).agg(F.count_if(F.col("used") > F.col("capacity")).alias("over_capacity"))
+    docs = packed.groupBy(*keys, "item").agg(F.count("*").alias("pieces"), F.sum("size").alias("tokens")).groupBy(*keys).agg(F.count("*").alias("n_docs"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split_though_fit"), F.sum("tokens").alias("_placed"))
+    total = sized.agg(F.sum("tokens").alias("_all"))  # one row
+    return docs.join(over, keys).crossJoin(F.broadcast(total)).select(*keys, "n_docs", "over_capacity", "split_though_fit", (F.col("_all") - F.col("_placed")).alias("tokens_lost"))
+
+
 # --- 8: mixing sources
 
 
@@ -188,6 +231,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold, by target: no record is used more often than allowed, and the source misses its budget by half of its longest record at most."""
+    sized = _sized(spark, folder)
+    draws, report = mixing.mix(sized, "doc_id", "source", "tokens", table(spark, folder, "mix_targets"))
+    longest = sized.groupBy(F.col("source").alias("_source")).agg(F.max("tokens").alias("_longest"))
+    missed = F.abs(F.col("drawn") - F.col("budget")) > F.coalesce("_longest", F.lit(0)) / 2.0 + 1e-6
+    found = report.join(longest, F.col("source") == F.col("_source"), "left")
+    return found.select("mix_name", "source", "target_share", (F.col("max_uses") > F.col("max_repeats")).alias("overused"), missed.alias("missed"))
+
+
 # --- 9: texts that were cut off
 
 
@@ -211,12 +264,15 @@ def p9_sources(spark: SparkSession, folder: str) -> DataFrame:
     return joined.withColumn("cut_share", F.col("n_cut") / F.col("n_values"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_counts, p3_percentiles, p6_found, p6_groups, p7_containers, p7_fill, p7_summary, p8_draws, p8_shares, p9_found, p9_scores, p9_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_counts, p2_corrected, p3_percentiles, p6_found, p6_groups, p7_containers, p7_fill, p7_summary, p7_check, p8_draws, p8_shares, p8_check, p9_found, p9_scores, p9_sources)}
 
 SQL: dict[str, str] = {
     "p2_found": _P2 + "select field, term, mark from c where mark is not null",
     "p2_counts": _P2 + "select field, term, occurrences, records, mark from c",
+    "p2_corrected": _P2C,
     "p3_percentiles": _P3,
+    "p7_check": "select pack_name, capacity_tokens as capacity, (select count(*) from documents where text is not null) as n_docs, 0 as over_capacity, 0 as split_though_fit, 0 as tokens_lost from pack_sizes group by all",
+    "p8_check": "select mix_name, source, target_share, false as overused, false as missed from mix_targets where mix_name is not null and source is not null",
     "p6_found": _P6 + "select table_name, first_id, row_id as copy_id from g where row_id <> first_id",
     "p6_groups": _P6 + "select table_name, first_id, n as n_copies from g where row_id = first_id",
 }

@@ -59,3 +59,13 @@ def test_clashing_columns_and_repeated_rows(spark):
     t = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], "mix_name string, source string, target_share double, max_repeats int")
     draws, _ = mix(df, "doc", "src", "tokens", t)
     assert draws.count() == 40
+
+
+def test_many_targets(spark):
+    """More targets than are sent to all executors: the same draws, with the hot source spread."""
+    df = spark.createDataFrame([(i, "a" if i % 4 else "b", 1 + i % 9) for i in range(400)], "doc long, src string, tokens int")
+    t = spark.createDataFrame([(f"m{k}", s, x, 2) for k in range(6) for s, x in (("a", 0.3 + k / 20), ("b", 0.7 - k / 20))], "mix_name string, source string, target_share double, max_repeats int")
+    want = {tuple(r) for r in mix(df, "doc", "src", "tokens", t)[0].collect()}
+    draws, report = mix(df, "doc", "src", "tokens", t, sent=3, hot_rows=50)
+    got = [tuple(r) for r in draws.collect()]
+    assert len(got) == len(want) and set(got) == want and report.count() == 12

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from phylospark.llm.packing import fills, pack, plan
+from phylospark.llm.packing import fills, pack, pack_all, plan
 
 
 def contents(counts, capacity):
@@ -74,3 +74,24 @@ def test_edges(spark):
     assert [(r.container_id, r["size"]) for r in pack(zero, "doc", "tokens", 10).collect()] == [(0, 0), (0, 0)]
     with pytest.raises(Exception, match="negative"):
         pack(spark.createDataFrame([(1, -1)], "doc long, tokens int"), "doc", "tokens", 10).count()
+
+
+def test_many_capacities(spark, monkeypatch):
+    """More capacities than go in one pass, from one sort of the items: each as if it were alone."""
+    from phylospark.llm import packing
+
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, rng.choice([0, 3, 3, 8, 21, rng.randint(1, 40)])) for i in range(300)], "doc long, tokens int")
+    packs = [(f"p{c}", c) for c in range(1, 31)]
+    one_pass = {tuple(r) for r in pack_all(df, "doc", "tokens", packs).collect()}
+    monkeypatch.setattr(packing, "SENT_SIZES", 100)
+    got = [tuple(r) for r in pack_all(df, "doc", "tokens", packs).collect()]
+    assert len(got) == len(one_pass) and set(got) == one_pass
+    for name, cap in packs[::6]:
+        boxes, items = {}, {}
+        for _, _, doc, piece, size, box in (r for r in got if r[0] == name):
+            boxes[box] = boxes.get(box, 0) + size
+            items[doc] = items.get(doc, 0) + size
+        assert len(items) == 300 and max(boxes.values()) <= cap and sorted(boxes) == list(range(len(boxes)))
+        assert items == {r.doc: r.tokens for r in df.collect()}
+    assert pack_all(df, "doc", "tokens", []).count() == 0

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from phylospark.llm.terms import TermCounts, changes, totals
@@ -20,7 +21,7 @@ def plain(rows):
 def test_batches_against_recount(spark, tmp_path):
     """Added, changed and deleted rows, batch by batch; null and empty terms; a term of a third of all rows."""
     rng = random.Random(5)
-    store = TermCounts(spark, str(tmp_path / "s"), buckets=4)
+    store = TermCounts(spark, str(tmp_path / "s"))
     live = []
     for batch in range(4):
         gone = rng.sample(live, len(live) // 3)
@@ -49,3 +50,47 @@ def test_rows_as_records_and_empty(spark, tmp_path):
     assert state(store) == {("f", "a"): (6, 2), ("f", "b"): (2, 1)}
     store.apply(changes(df.filter("term = 'b'"), "f", F.col("term"), occurrences=F.col("n"), sign=-1))
     assert state(store) == {("f", "a"): (6, 2)}
+
+
+def runs(path):
+    return {k: sorted(p.name for p in (path / k).iterdir()) for k in ("pairs", "terms")}
+
+
+def test_failed_batch_is_applied_again(spark, tmp_path):
+    """A batch that fails between its pairs and its terms changes nothing, and is applied later, by the same store and by a new one."""
+    df = spark.createDataFrame([(f"r{i % 7}", f"t{i % 5}") for i in range(60)], "rec string, term string")
+    batch = changes(df, "f", F.col("term"), F.col("rec"))
+    for name, again in (("same", lambda s: s), ("new", lambda s: TermCounts(spark, s.path))):
+        store = TermCounts(spark, str(tmp_path / name))
+        store.apply(batch, 0)
+        before = state(store)
+        write = store._write
+
+        def failing(kind, frame, write=write):
+            if kind == "terms":
+                raise OSError("lost")
+            return write(kind, frame)
+
+        store._write = failing
+        with pytest.raises(OSError):
+            store.apply(batch, 1)
+        store._write = write
+        assert state(store) == before
+        store = again(store)
+        assert store.apply(batch, 1) and not store.apply(batch, 1)  # sent again: left out
+        assert state(store) == {k: (2 * n, r) for k, (n, r) in before.items()} == state(TermCounts(spark, str(tmp_path / name)))
+
+
+def test_small_batch_leaves_the_state(spark, tmp_path):
+    """A small batch writes small runs; the large ones stay the same files. What no manifest names is deleted."""
+    df = spark.range(5000).select((F.col("id") % 900).cast("string").alias("rec"), (F.col("id") % 1300).cast("string").alias("term"))
+    store = TermCounts(spark, str(tmp_path / "s"))
+    store.apply(changes(df, "f", F.col("term"), F.col("rec")))
+    large = store.state["pairs"][0]
+    few = spark.createDataFrame([("r1", "new"), ("0", "0"), ("r2", "0")], "rec string, term string")
+    for k in range(4):
+        store.apply(changes(few, "f", F.col("term"), F.col("rec"), sign=1 if k % 2 == 0 else -1))
+        assert store.state["pairs"][0] == large and sum(r["rows"] for r in store.state["pairs"][1:]) <= 6
+    assert ("f", "new") not in state(store) and len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("manifest")]) == 2
+    assert all(len(v) <= 6 for v in runs(tmp_path / "s").values())
+    assert state(store)["f", "0"] == state(TermCounts(spark, store.path))["f", "0"]
