@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
@@ -74,9 +75,9 @@ def token_count(text: Column, folder: str = TOKENIZERS, name: str = VOCABULARY)
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        out = pd.Series(None, index=texts.index, dtype="Int64")
-        some = texts.notna()
-        out[some] = [len(x) for x in _of(known)(texts[some].tolist())]
-        return out
+        some = texts.notna().to_numpy()
+        n = np.zeros(len(texts), dtype=np.int64)
+        n[some] = [len(x) for x in _of(known)(texts[some].tolist())]
+        return pd.Series(pd.arrays.IntegerArray(n, ~some))
 
     return count(text)
