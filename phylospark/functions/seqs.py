@@ -1,12 +1,16 @@
-"""Column builders for sequences. All are built-in expressions, so that they stay in the JVM."""
+"""Column builders for sequences: built-in expressions, so that they stay in the JVM, but for translation, which looks up whole Arrow batches in a table."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from phylospark.functions.batches import byte_texts, text_bytes
 from phylospark.functions.codes import code
 
 #: Symbols that a DNA or protein sequence may have, and those that are reported on.
@@ -65,13 +69,50 @@ def chunks(col: Column, width: int) -> Column:
     return F.regexp_extract_all(col, F.lit("(?s).{1,%d}" % width), 0)
 
 
-def translated(col: Column, table: int = 1, frame: int = 1) -> Column:
-    """Amino acids of a DNA sequence read in frame 1, 2 or 3: unknown or incomplete codons are X."""
-    if frame not in (1, 2, 3):
+#: What a codon may be made of; anything else, and what is beyond the sequence's end, is the class behind these.
+_LETTERS = "TCAGN-?"
+_CLASS = np.full(256, len(_LETTERS), dtype=np.int64)
+for _k, _c in enumerate(_LETTERS):
+    _CLASS[[ord(_c), ord(_c.lower())]] = _k
+
+
+def codon_table(table: int) -> np.ndarray:
+    """Amino acids by the classes of a codon's three characters; X where the code has none."""
+    n = len(_LETTERS) + 1
+    out = np.full((n, n, n), ord("X"), dtype=np.uint8)
+    for codon, amino in code(table).items():
+        out[tuple(_LETTERS.index(c) for c in codon)] = ord(amino)
+    return out
+
+
+def translate_batch(seq: pa.Array, frame: np.ndarray, amino: np.ndarray) -> pa.Array:
+    """Amino acids of sequences, each read from its frame on (1, 2 or 3). Null for null."""
+    seq = seq.cast(pa.string())
+    data, sizes = text_bytes(seq)
+    if data.size and data.max() > 127:  # one character each
+        seq = pc.replace_substring_regex(seq, "[^\\x00-\\x7f]", "!")
+        data, sizes = text_bytes(seq)
+    first = np.cumsum(sizes) - sizes + frame - 1
+    end = np.repeat(np.cumsum(sizes), n := np.maximum(-(-(sizes - frame + 1) // 3), 0))
+    at = np.repeat(first, n) + 3 * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    padded = np.append(_CLASS[data], len(_LETTERS))
+    found = byte_texts(amino[tuple(padded[np.where(at + j < end, at + j, len(data))] for j in range(3))], n)
+    return pc.if_else(pc.is_valid(seq), found, None)
+
+
+def translated(col: Column, table: int = 1, frame: int | Column = 1) -> Column:
+    """Amino acids of a DNA sequence read in frame 1, 2 or 3, which may be a column: unknown or incomplete codons are X. Null for a null sequence or frame."""
+    if isinstance(frame, int) and frame not in (1, 2, 3):
         raise ValueError("the reading frame is 1, 2 or 3")
-    codons = F.create_map(*[F.lit(x) for pair in code(table).items() for x in pair])
-    parts = chunks(F.substring(F.upper(col), frame, 2**31 - 1), 3)
-    return F.array_join(F.transform(parts, lambda c: F.coalesce(F.try_element_at(codons, c), F.lit("X"))), "")
+    amino = codon_table(table)
+
+    @F.arrow_udf("string")
+    def run(seq: pa.Array, frames: pa.Array) -> pa.Array:
+        known = pc.is_valid(frames)
+        found = translate_batch(seq, pc.fill_null(frames, 1).to_numpy(zero_copy_only=False).astype(np.int64), amino)
+        return pc.if_else(known, found, None)
+
+    return run(col, F.lit(frame) if isinstance(frame, int) else frame.cast("int"))
 
 
 def _java_replacement(replacement: str, shift: int) -> str:

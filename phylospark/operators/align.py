@@ -8,16 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-from pyspark.sql.window import Window
-
 from phylospark.functions import seqs
 from phylospark.operators import sites, stats
-from phylospark.operators.ranges import running_sum
+from phylospark.operators.ranges import join_skewed, previous, running_sum
 from phylospark.runtime import BROADCAST_ROWS, is_small, materialize
 
 
@@ -68,12 +64,12 @@ def loci_max_pinf(aln: DataFrame, n: int, datatype: str = "dna") -> DataFrame:
 
 def _pinf(aln: DataFrame, datatype: str) -> DataFrame:
     """locus, pars_inf for every locus, also those without any site."""
-    return aln.select("locus").distinct().join(sites.locus_sites(aln, datatype).select("locus", "pars_inf"), "locus", "left").withColumn("pars_inf", F.coalesce("pars_inf", F.lit(0).cast("bigint")))
+    return sites.locus_sums(aln, datatype).select("locus", "pars_inf")
 
 
 def loci_percent_pinf(aln: DataFrame, percent: float, datatype: str = "dna") -> DataFrame:
     """Loci with at least floor(the most of any locus * percent) informative sites."""
-    p = _pinf(aln, datatype)
+    p = materialize(_pinf(aln, datatype), "pinf")  # a row for each locus
     most = p.agg(F.max("pars_inf").alias("_most"))  # one row
     return p.crossJoin(F.broadcast(most)).filter(F.col("pars_inf") >= F.floor(F.col("_most") * F.lit(float(percent)))).select("locus", "pars_inf")
 
@@ -257,37 +253,47 @@ def _each(rows: DataFrame, made: Callable[..., Iterator[tuple]], ddl: str) -> Da
 # --- trimming
 
 
-@F.pandas_udf(StringType())
-def _picked(seq: pd.Series, at: pd.Series) -> pd.Series:
-    """The characters at these positions (from 0, sorted)."""
+#: Loci up to which the masks of all of them, an eighth of a sequence each, are sent to all executors.
+SENT_MASKS = 10_000
+
+
+def _picked(seq: pa.Array, masks: pa.Array) -> pa.Array:
+    """The characters of each sequence that its masks keep; the whole sequence where there are no masks."""
     out = []
-    for s, k in zip(seq, at):
-        k = np.asarray(k)
+    for s, m in zip(seq.to_pylist(), masks.to_pylist()):
+        if s is None or m is None:
+            out.append(s)
+            continue
+        keep = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8)) for x in m])[: len(s)].astype(bool) if m else np.zeros(0, dtype=bool)
         if s.isascii():
-            out.append(np.frombuffer(s.encode(), dtype=np.uint8)[k[k < len(s)]].tobytes().decode())
+            out.append(np.frombuffer(s.encode(), dtype=np.uint8)[: len(keep)][keep].tobytes().decode())
         else:
-            out.append("".join(s[i] for i in k if i < len(s)))
-    return pd.Series(out, dtype=object)
+            out.append("".join(s[i] for i in np.flatnonzero(keep)))
+    return pa.array(out, pa.string())
 
 
-def _assemble(aln: DataFrame, kept: DataFrame) -> DataFrame:
-    """The kept sites (locus, pos from 0) of each sequence. The positions of a locus are one value next to its sequences, no longer than one of them."""
-    masks = kept.groupBy("locus").agg(F.sort_array(F.collect_list("pos")).alias("_at"))
-    rows = aln.join(masks, "locus")
-    return rows.withColumn("seq", _picked("seq", "_at")).drop("_at")
+def _trimmed(aln: DataFrame, masks: DataFrame, all_gone: str) -> DataFrame:
+    """The sites of each locus that its masks keep. Of a locus without any, all sequences are kept as they are ('stay') or dropped ('drop')."""
+    masks = materialize(masks, "masks")
+    small = is_small(masks, SENT_MASKS)
+    known = masks.filter("n_kept > 0").select(F.col("locus").alias("_of"), "masks")
+    pick = F.arrow_udf("string")(_picked)
+    rows = join_skewed(aln, "locus", known, "_of", "inner", small=small)
+    trimmed = rows.withColumn("seq", pick("seq", "masks")).drop("masks")
+    if all_gone == "drop":
+        return trimmed
+    return trimmed.unionByName(join_skewed(aln, "locus", known.select("_of"), "_of", "left_anti", small=small))
 
 
 def trim_missing(aln: DataFrame, percent: float) -> DataFrame:
     """Keep the sites with less than this share of missing data. A locus of which no site is left stays as it is."""
-    kept = sites.site_missing(aln).filter(F.col("prop_missing") < F.lit(float(percent)))
-    trimmed = _assemble(aln, kept)
-    untouched = aln.join(kept.select("locus").distinct(), "locus", "left_anti")
-    return trimmed.unionByName(untouched)
+    share = float(percent)
+    return _trimmed(aln, sites.site_masks(aln, lambda states, twice, missing, rows: missing / np.maximum(rows, 1) < share), "stay")
 
 
 def trim_pinf(aln: DataFrame, least: int, datatype: str = "dna") -> DataFrame:
     """Keep the informative sites with at least so many states that occur twice. A locus of which none is left is dropped."""
-    return _assemble(aln, sites.site_pinf_counts(aln, datatype).filter(F.col("n_twice") >= least))
+    return _trimmed(aln, sites.site_masks(aln, lambda states, twice, missing, rows: twice >= max(2, least), datatype), "drop")
 
 
 def trim_summary(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -307,8 +313,11 @@ def unalign(aln: DataFrame) -> DataFrame:
 
 
 def sort_by_id(aln: DataFrame) -> DataFrame:
-    """seq_idx by the order of ids, byte for byte, within each locus."""
-    return aln.withColumn("seq_idx", (F.row_number().over(Window.partitionBy("locus").orderBy("taxon")) - 1).cast("int"))
+    """seq_idx by the order of ids, byte for byte, within each locus. A locus of any size is spread over ranges."""
+    one = aln.withColumn("_one", F.lit(1).cast("bigint"))
+    order = ["taxon", "seq_idx"] if "seq_idx" in aln.columns else ["taxon"]
+    ranked = running_sum(one, ["locus"], order, "_one", "_at", cut="sorted")
+    return ranked.withColumn("seq_idx", (F.col("_at") - 1).cast("int")).drop("_one", "_at")
 
 
 def violations(aln: DataFrame, datatype: str) -> DataFrame:
@@ -317,7 +326,6 @@ def violations(aln: DataFrame, datatype: str) -> DataFrame:
 
 
 def contiguity(parts: DataFrame, by: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
-    """The parts that do not begin right behind the one before (the first one at 1), with `expected`, the start they should have."""
-    w = Window.partitionBy(*(by or [])).orderBy("part_idx", "start", "end", *(tie or []))
-    expected = F.coalesce(F.lag("end").over(w) + 1, F.lit(1))
-    return parts.withColumn("expected", expected).filter(~F.col("start").eqNullSafe(F.col("expected")))
+    """The parts that do not begin right behind the one before (the first one at 1), with `expected`, the start they should have. Tables of any size are spread."""
+    rows = previous(parts, by or [], ["part_idx", "start", "end", *(tie or [])], "end", "_before", cut="parts")
+    return rows.withColumn("expected", F.coalesce(F.col("_before") + 1, F.lit(1))).drop("_before").filter(~F.col("start").eqNullSafe(F.col("expected")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.functions import seqs
+from phylospark.functions.batches import text_bytes
 from phylospark.operators.ranges import join_same, running_sum
 from phylospark.operators.stats import ratio
 
@@ -34,16 +35,6 @@ _LOWS, _HIGHS = ["min_read_len", "min_qscore"], ["max_read_len", "max_qscore"]
 NO_LOW, NO_HIGH = 1 << 60, -1
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts in a row, and the number of each text's; a null counts as ''."""
-    texts = pc.fill_null(texts, "")
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
-    return data, np.diff(offsets)
-
-
 def _quality(data: np.ndarray) -> np.ndarray:
     """Qualities of their characters: the code less 33. A character above 'J' raises."""
     if data.size and data.max() > 74:
@@ -58,9 +49,9 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         paths = b.column(0).dictionary_encode(null_encoding="encode")
         of, n = paths.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(paths.dictionary)
-        bases, sizes = _bytes(b.column(1))
+        bases, sizes = text_bytes(b.column(1))
         kinds = np.bincount(np.repeat(of, sizes) * 6 + _KIND[bases], minlength=n * 6).reshape(n, 6)
-        quals, sizes = _bytes(b.column(2))
+        quals, sizes = text_bytes(b.column(2))
         q = np.bincount(np.repeat(of, sizes) * 256 + (_quality(quals) + 128), minlength=n * 256).reshape(n, 256)
         value = np.arange(256) - 128
         length = pc.utf8_length(b.column(1))
@@ -99,7 +90,7 @@ def quality_histogram(reads: DataFrame) -> DataFrame:
         for b in batches:
             paths = b.column(0).dictionary_encode(null_encoding="encode")
             of, n = paths.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(paths.dictionary)
-            quals, sizes = _bytes(b.column(1))
+            quals, sizes = text_bytes(b.column(1))
             counts = np.bincount(np.repeat(of, sizes) * 256 + _quality(quals) + 128, minlength=n * 256)
             at = np.flatnonzero(counts)
             path = paths.dictionary.cast(pa.string()).take(pa.array(at // 256))
@@ -115,8 +106,8 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         paths = b.column(0).dictionary_encode(null_encoding="encode")
         of, n = paths.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(paths.dictionary)
-        bases, sizes = _bytes(b.column(1))
-        quals, q_sizes = _bytes(b.column(2))
+        bases, sizes = text_bytes(b.column(1))
+        quals, q_sizes = text_bytes(b.column(2))
         longest = np.zeros(n, dtype=np.int64)
         np.maximum.at(longest, of, sizes)
         first = np.concatenate([[0], np.cumsum(longest)])

@@ -52,6 +52,19 @@ def running_sum(df: DataFrame, groups: list[str], order: list[str], value: str |
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *sums, *([total] if total else []))
 
 
+def previous(df: DataFrame, groups: list[str], order: list[str], value: str, out: str, cut: str = "previous") -> DataFrame:
+    """Add `out`: the value in the row before this one in its groups, null in the first. As in `running_sum`, a group of any size is spread over ranges; the first
+    row of a range has its value from the last range before with rows of the group."""
+    ranged = materialize(df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()), cut)
+    within = Window.partitionBy("_part", *groups).orderBy(*order)
+    rows = ranged.withColumns({"_row": F.row_number().over(within), out: F.lag(value).over(within)})
+    last = ranged.groupBy("_part", *groups).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    before = last.withColumn("_earlier", F.lag("_last").over(Window.partitionBy(*groups).orderBy("_part"))).select("_part", *groups, "_earlier")
+    joined = join_same(rows, before.filter(F.col("_earlier").isNotNull()), ["_part", *groups], small=True)  # at most one row for each range
+    value_here = F.when(F.col("_row") == 1, F.col("_earlier.v")).otherwise(F.col(out))
+    return joined.withColumn(out, value_here).select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, hot: int = 100_000) -> DataFrame:
     """Inner join with a right side that has each key once and knows, in `weight`, how many rows of left have it.
 

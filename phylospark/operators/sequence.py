@@ -141,8 +141,7 @@ def translate_auto(aln: DataFrame, table: int = 1, strict: bool = True) -> DataF
     rows = aln.join(auto_frames(aln, table), "locus")
     if strict:
         rows = rows.withColumn("frame", F.when(F.col("frame").isNull(), F.raise_error(F.concat(F.lit("no reading frame without stop codons: "), F.col("locus")))).otherwise(F.col("frame")))
-    by_frame = F.coalesce(*[F.when(F.col("frame") == f, seqs.translated(F.col("seq"), table, f)) for f in (1, 2, 3)])
-    return rows.filter("frame is not null").withColumn("seq", by_frame)
+    return rows.filter("frame is not null").withColumn("seq", seqs.translated(F.col("seq"), table, F.col("frame")))
 
 
 # --- addition

@@ -1,19 +1,29 @@
 """Summaries of alignments by locus, by taxon and of a whole dataset.
 
-An alignment is a table with locus, seq_idx, taxon, seq: one row for each taxon of a locus. Symbol counts come from the lengths of strings
-with the symbol removed; nothing is exploded for them. Ratios with a zero denominator are null.
+An alignment is a table with locus, seq_idx, taxon, seq: one row for each taxon of a locus. Symbols are counted in NumPy, an Arrow batch at a time, and
+each batch goes on as one row for each key in it; where sites are counted as well, in their matrices. Ratios with a zero denominator are null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from phylospark.functions import seqs
 from phylospark.operators import sites
+from phylospark.functions.batches import text_bytes
 from phylospark.operators.ranges import running_sum
 
+#: Cells that a batch is counted in at once.
+MOST_CELLS = 4_000_000
+
 
 def symbols(datatype: str) -> str:
     return seqs.AA_SYMBOLS if datatype == "aa" else seqs.DNA_SYMBOLS
@@ -30,40 +40,97 @@ def headers(aln: DataFrame) -> DataFrame:
     return aln.groupBy("locus").agg(F.count("*").alias("ntax"), F.max(n).cast("bigint").alias("nchar"), (F.max(n) == F.min(n)).alias("aligned"))
 
 
-def _char_sums(datatype: str) -> list[Column]:
-    """Sums over sequences: missing, gc, at, nucleotides, and one for each symbol, in either case."""
-    up = F.upper("seq")
-    out = [F.sum(seqs.missing(F.col("seq"))).alias("missing"), F.sum(seqs.count_of(up, "GC")).alias("gc"), F.sum(seqs.count_of(up, "AT")).alias("at"), F.sum(seqs.count_of(up, "GCAT")).alias("nucleotides")]
-    return out + [F.sum(seqs.count_of(up, c)).alias(f"sym_{c}") for c in symbols(datatype)]
+_UPPER = np.arange(256, dtype=np.int64)
+_UPPER[ord("a") : ord("z") + 1] -= 32
+_KINDS = {"missing": seqs.MISSING, "gc": "GC", "at": "AT", "nucleotides": "GCAT"}
+
+
+def _count_columns(datatype: str) -> dict[str, list[int]]:
+    """By column, the codes of the symbols that it counts."""
+    return {k: [ord(c) for c in v] for k, v in _KINDS.items()} | {f"sym_{c}": [ord(c)] for c in symbols(datatype)}
+
+
+def char_counts(aln: DataFrame, keys: list[str], datatype: str, each: bool = False) -> DataFrame:
+    """keys, n (rows), len_sum, len_max, missing, gc, at, nucleotides, sym_<symbol> (in either case): one row for each key of a batch, to be summed up, or,
+    with `each`, one for each row. Null sequences count as rows only."""
+    columns = _count_columns(datatype)
+    rows = aln.select(*keys, "seq")
+    names = ["n", "len_sum", "len_max", *columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if each:
+                at = of = np.arange(b.num_rows)
+            else:
+                code = np.zeros(b.num_rows, dtype=np.int64)
+                for c in b.columns[:-1]:
+                    d = c.dictionary_encode(null_encoding="encode")
+                    code = code * (len(d.dictionary) + 1) + d.indices.to_numpy(zero_copy_only=False)
+                    _, at, code = np.unique(code, return_index=True, return_inverse=True)
+                of = code
+            n = len(at)
+            seq = pc.fill_null(b.column(b.num_columns - 1), "")
+            length = pc.utf8_length(seq).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, sizes = text_bytes(seq)
+            if data.size and data.max() > 127:  # a symbol outside of ASCII may have one inside as its upper case
+                data, sizes = text_bytes(pc.utf8_upper(seq))
+            table = np.zeros((n, 256), dtype=np.int64)
+            width = max(1, MOST_CELLS // max(1, int(sizes.max(initial=0))))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for i in range(0, b.num_rows, width):  # so many rows that the index of their bytes stays small
+                j = min(i + width, b.num_rows)
+                here = _UPPER[data[ends[i] : ends[j]]] + 256 * np.repeat(of[i:j], sizes[i:j])
+                if len(here) * 8 > n * 256:
+                    table += np.bincount(here, minlength=n * 256).reshape(n, 256)
+                else:
+                    np.add.at(table.reshape(-1), here, 1)
+            most = np.zeros(n, dtype=np.int64)
+            np.maximum.at(most, of, length)
+            values = [np.bincount(of, minlength=n), np.bincount(of, weights=length, minlength=n), most, *(table[:, c].sum(axis=1) for c in columns.values())]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns[:-1]), *(pa.array(v.astype(np.int64)) for v in values)], names=[*b.schema.names[:-1], *names])
+
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"`{c}` bigint" for c in names])
+    return rows.mapInArrow(run, ddl)
+
+
+def _sums(datatype: str) -> list[Column]:
+    return [F.sum(F.col(f"`{c}`")).alias(c) for c in _count_columns(datatype)]
 
 
 def locus_chars(aln: DataFrame, datatype: str = "dna") -> DataFrame:
     """locus, ntax, nchar, total_chars, missing, gc, at, nucleotides, sym_<symbol>."""
-    n = F.max(F.length("seq")).cast("bigint")
-    out = aln.groupBy("locus").agg(F.count("*").alias("ntax"), n.alias("nchar"), *_char_sums(datatype))
+    out = char_counts(aln, ["locus"], datatype).groupBy("locus").agg(F.sum("n").alias("ntax"), F.max("len_max").alias("nchar"), *_sums(datatype))
     return out.withColumn("total_chars", F.col("ntax") * F.col("nchar"))
 
 
 def locus_summary(aln: DataFrame, datatype: str = "dna") -> DataFrame:
-    """One row for each locus with the columns of the locus summary file (see `sinks.csv_columns`); the site part has its own shuffle, both join on the locus."""
-    return locus_chars(aln, datatype).join(sites.locus_sites(aln, datatype), "locus", "left").withColumn("prop_missing", ratio("missing", "total_chars"))
+    """One row for each locus with the columns of the locus summary file (see `sinks.csv_columns`), all from the site matrices: one pass, one shuffle.
+    The numbers of sites are null for a locus without any position."""
+    columns = _count_columns(datatype)
+    every = "".join(sorted({chr(c) for cs in columns.values() for c in cs}))
+    sums = sites.locus_sums(aln, datatype, every)
+    sums = sites.with_shares(sums.withColumns({c: F.when(F.col("nchar") > 0, F.col(c)) for c in sites.SUMS}))
+    counts = {k: reduce(lambda a, b: a + b, [F.col(f"n_{c}") for c in cs]) for k, cs in columns.items()}
+    out = sums.withColumn("total_chars", F.col("ntax") * F.col("nchar")).withColumns(counts).drop(*[f"n_{ord(c)}" for c in every])
+    return out.withColumn("prop_missing", ratio("missing", "total_chars"))
+
+
+_PROPS = {"prop_missing": "missing", "gc_content": "gc", "at_content": "at", "prop_nucleotides": "nucleotides"}
 
 
 def taxon_summary(aln: DataFrame, datatype: str = "dna") -> DataFrame:
     """taxon, locus_counts, total_chars, missing, proportions, and counts by symbol over all loci."""
-    out = aln.groupBy("taxon").agg(F.countDistinct("locus").alias("locus_counts"), F.sum(F.length("seq")).alias("total_chars"), *_char_sums(datatype))
-    return out.withColumns({"prop_missing": ratio("missing", "total_chars"), "gc_content": ratio("gc", "total_chars"), "at_content": ratio("at", "total_chars"), "prop_nucleotides": ratio("nucleotides", "total_chars")})
+    by = char_counts(aln, ["taxon", "locus"], datatype).groupBy("taxon", "locus").agg(F.sum("len_sum").alias("total_chars"), *_sums(datatype))
+    out = by.groupBy("taxon").agg(F.count("locus").alias("locus_counts"), F.sum("total_chars").alias("total_chars"), *_sums(datatype))
+    return out.withColumns({k: ratio(c, "total_chars") for k, c in _PROPS.items()})
 
 
 def per_locus_taxon(aln: DataFrame, datatype: str = "dna") -> DataFrame:
-    """As taxon_summary for each sequence of each locus; a projection, no shuffle."""
-    up = F.upper("seq")
-    out = aln.select(
-        "locus", "taxon", F.length("seq").cast("bigint").alias("total_chars"), seqs.missing(F.col("seq")).alias("missing"),
-        seqs.count_of(up, "GC").alias("gc"), seqs.count_of(up, "AT").alias("at"), seqs.count_of(up, "GCAT").alias("nucleotides"),
-        *[seqs.count_of(up, c).alias(f"sym_{c}") for c in symbols(datatype)],
-    )
-    return out.withColumns({"prop_missing": ratio("missing", "total_chars"), "gc_content": ratio("gc", "total_chars"), "at_content": ratio("at", "total_chars"), "prop_nucleotides": ratio("nucleotides", "total_chars")})
+    """As taxon_summary for each sequence of each locus; a map, no shuffle."""
+    out = char_counts(aln, ["locus", "taxon"], datatype, each=True).drop("n", "len_max").withColumnRenamed("len_sum", "total_chars")
+    return out.withColumns({k: ratio(c, "total_chars") for k, c in _PROPS.items()})
 
 
 def char_histogram(aln: DataFrame, by: str = "locus") -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from phylospark.functions import seqs
 from phylospark.functions.codes import DELTAS, code
 from phylospark.operators import align, genomics, sequence, sites, stats
+from phylospark.operators.ranges import join_skewed
+from phylospark.runtime import is_small, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,15 +27,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def alignments(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all loci. They are written once, as every query uses them more than once; `sequences` is scanned once."""
     rows = table(spark, folder, "sequences").filter("locus is not null and taxon is not null and seq <> ''")
     first = rows.groupBy("locus", "taxon").agg(F.min_by(F.struct("seq_idx", "path", "seq"), "row_id").alias("r"))
-    return first.select("locus", "r.path", "r.seq_idx", "taxon", "r.seq")
+    return materialize(first.select("locus", "r.path", "r.seq_idx", "taxon", "r.seq"), "alignments")
 
 
 def _typed(spark: SparkSession, folder: str, dna: bool) -> DataFrame:
-    aln = alignments(spark, folder)
-    kind = aln.groupBy("locus").agg(F.bool_and(seqs.only(F.col("seq"), seqs.DNA_VALID)).alias("_dna"))
-    return aln.join(kind.filter(F.col("_dna") == dna), "locus", "left_semi")
+    """The rows of the loci of a type, by the symbols of all of their sequences. One row a locus says which they are."""
+    rows = table(spark, folder, "sequences").filter("locus is not null and taxon is not null and seq <> ''")
+    first = rows.groupBy("locus", "taxon").agg(F.min_by(F.struct("seq_idx", "path", "seq"), "row_id").alias("r"))
+    aln = materialize(first.select("locus", "r.path", "r.seq_idx", "taxon", "r.seq", seqs.only(F.col("r.seq"), seqs.DNA_VALID).alias("_dna")), "alignments")
+    kind = materialize(aln.groupBy("locus").agg(F.bool_and("_dna").alias("_kind")).filter(F.col("_kind") == dna).select(F.col("locus").alias("_locus")), "loci")
+    return join_skewed(aln.drop("_dna"), "locus", kind, "_locus", small=is_small(kind))
 
 
 def dna(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,8 +122,14 @@ add("char_histogram", lambda s, d: stats.char_histogram(alignments(s, d)), _ALL
 _COMPLETE = _DNA + _HEAD + """, tot as (select count(distinct taxon) as n from aln), p as (select unnest(range(100, -1, -{0})) as percent),
 c as (select percent, count(*) filter (ntax >= floor(tot.n * (percent / 100.0::double))) as n_loci, count(*) as loci from head, tot, p group by percent)
 select cast(percent as int) as percent, n_loci from c where percent >= (select max(percent) from c where n_loci = loci)"""
+
+
+def _completeness(aln: DataFrame, step: int) -> DataFrame:
+    return stats.matrix_completeness(stats.headers(aln), stats.unique_ids(aln).agg(F.count("*").alias("total_taxa")), step)
+
+
 for _step in (5, 10):
-    add(f"matrix_completeness_{_step}", lambda s, d, k=_step: stats.matrix_completeness(stats.headers(dna(s, d)), stats.unique_ids(dna(s, d)).agg(F.count("*").alias("total_taxa")), k), _COMPLETE.format(_step))
+    add(f"matrix_completeness_{_step}", lambda s, d, k=_step: _completeness(dna(s, d), k), _COMPLETE.format(_step))
 add("unique_ids", lambda s, d: stats.unique_ids(alignments(s, d)), _ALL + "aln as (select * from al) select distinct taxon from aln")
 add("id_map", lambda s, d: stats.id_map(alignments(s, d)), _ALL + "aln as (select * from al) select distinct locus, taxon from aln")
 #: Ids of the extraction and the other lists: those that many loci have.
@@ -127,17 +139,22 @@ add("id_map_wide", lambda s, d: stats.id_map_wide(alignments(s, d)), _ALL + "aln
 
 # --- filters of loci
 
-add("filter_min_taxa", lambda s, d: align.keep_loci(dna(s, d), align.loci_min_taxa(dna(s, d), 20)), _DNA + _HEAD + "select * from aln where locus in (select locus from head where ntax >= 20)")
+
+def _keep(aln: DataFrame, which: Callable[..., DataFrame], *options) -> DataFrame:
+    return align.keep_loci(aln, which(aln, *options))
+
+
+add("filter_min_taxa", lambda s, d: _keep(dna(s, d), align.loci_min_taxa, 20), _DNA + _HEAD + "select * from aln where locus in (select locus from head where ntax >= 20)")
 add("filter_percent_taxa", lambda s, d: align.loci_percent_taxa(dna(s, d), [0.02]), _DNA + _HEAD + "select 0.02::double as percent, locus from head where ntax >= floor((select count(distinct taxon) from aln) * 0.02::double)")
 _PERCENTS = [0.005, 0.01, 0.02, 0.03]
 add("filter_npercent", lambda s, d: align.loci_percent_taxa(dna(s, d), _PERCENTS), _DNA + _HEAD + f"select p as percent, locus from head, unnest([{', '.join(f'{p}::double' for p in _PERCENTS)}]) as u(p) where ntax >= floor((select count(distinct taxon) from aln) * p)")
-add("filter_min_len", lambda s, d: align.keep_loci(dna(s, d), align.loci_min_len(dna(s, d), 90)), _DNA + _HEAD + "select * from aln where locus in (select locus from head where nchar >= 90)")
-add("filter_max_len", lambda s, d: align.keep_loci(dna(s, d), align.loci_max_len(dna(s, d), 90)), _DNA + _HEAD + "select * from aln where locus in (select locus from head where nchar <= 90)")
+add("filter_min_len", lambda s, d: _keep(dna(s, d), align.loci_min_len, 90), _DNA + _HEAD + "select * from aln where locus in (select locus from head where nchar >= 90)")
+add("filter_max_len", lambda s, d: _keep(dna(s, d), align.loci_max_len, 90), _DNA + _HEAD + "select * from aln where locus in (select locus from head where nchar <= 90)")
 _PINF = _DNA + _sites_sql(_DNA_STATE)
 add("filter_min_pinf", lambda s, d: align.loci_min_pinf(dna(s, d), 10).select("locus", "pars_inf"), _PINF + "select locus, pars_inf from ls where pars_inf >= 10")
 add("filter_max_pinf", lambda s, d: align.loci_max_pinf(dna(s, d), 10).select("locus", "pars_inf"), _PINF + "select locus, pars_inf from ls where pars_inf <= 10")
 add("filter_percent_inf", lambda s, d: align.loci_percent_pinf(dna(s, d), 0.5), _PINF + "select locus, pars_inf from ls where pars_inf >= floor((select max(pars_inf) from ls) * 0.5::double)")
-add("filter_missing", lambda s, d: align.keep_loci(dna(s, d), align.loci_max_missing(dna(s, d), 0.06)), _DNA + f", m as (select locus from aln group by locus having sum({_lost('seq', '-?')}) / (count(*) * max(length(seq)))::double <= 0.06::double) select * from aln where locus in (select locus from m)")
+add("filter_missing", lambda s, d: _keep(dna(s, d), align.loci_max_missing, 0.06), _DNA + f", m as (select locus from aln group by locus having sum({_lost('seq', '-?')}) / (count(*) * max(length(seq)))::double <= 0.06::double) select * from aln where locus in (select locus from m)")
 add("filter_taxon_all", lambda s, d: align.loci_with_all(alignments(s, d), IDS[:2]).select("locus"), _ALL + f"aln as (select * from al) select locus from aln where taxon in ('{IDS[0]}', '{IDS[1]}') group by locus having count(distinct taxon) = 2")
 
 # --- concatenation and what follows it
@@ -164,7 +181,13 @@ _PICK = ", kept as (select locus, list(pos + 1 order by pos) as ix from {0} grou
 _CUT = "select a.locus, a.taxon, array_to_string(list_transform(k.ix, lambda i: a.seq[i]), '') as seq from aln a join kept k on a.locus = k.locus"
 add("trim_missing", lambda s, d: align.trim_missing(dna(s, d), 0.05).select("locus", "taxon", "seq"), _DNA + _SITE + _MISS + _PICK.format("(select * from ms where m < 0.05::double)") + _CUT + " union all select locus, taxon, seq from aln where locus not in (select locus from kept)")
 add("trim_pinf", lambda s, d: align.trim_pinf(dna(s, d), 2).select("locus", "taxon", "seq"), _PINF + _PICK.format("(select * from st where n_twice >= 2)") + _CUT)
-add("trim_summary", lambda s, d: align.trim_summary(dna(s, d), align.trim_pinf(dna(s, d), 2)), _PINF + _HEAD + ", k as (select locus, count(*) as n from st where n_twice >= 2 group by locus) select head.locus, ntax, nchar as before, coalesce(n, 0) as after, nchar - coalesce(n, 0) as removed from head left join k on k.locus = head.locus")
+
+
+def _trim_summary(aln: DataFrame) -> DataFrame:
+    return align.trim_summary(aln, align.trim_pinf(aln, 2))
+
+
+add("trim_summary", lambda s, d: _trim_summary(dna(s, d)), _PINF + _HEAD + ", k as (select locus, count(*) as n from st where n_twice >= 2 group by locus) select head.locus, ntax, nchar as before, coalesce(n, 0) as after, nchar - coalesce(n, 0) as removed from head left join k on k.locus = head.locus")
 add("unalign", lambda s, d: align.unalign(alignments(s, d)), _ALL + "aln as (select * from al) select locus, taxon, seq_idx, path, translate(seq, '-?', '') as seq from aln")
 add("convert_sorted", lambda s, d: align.sort_by_id(alignments(s, d)), _ALL + "aln as (select * from al) select locus, taxon, path, seq, cast(row_number() over (partition by locus order by taxon) - 1 as int) as seq_idx from aln")
 add("alphabet_validation", lambda s, d: align.violations(protein(s, d), "aa").select("locus", "taxon"), _AA + "select locus, taxon from aln where not regexp_full_match(seq, '[?ARNDCQEGHILKMFPSTWYVXBZJU*.~-]*')")

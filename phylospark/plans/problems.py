@@ -54,8 +54,8 @@ def p1_bed_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 _P1 = r"""
 with l as (select line_id, file_path, kind, line_no, regexp_replace(line, '\r$', '') as x from raw_lines),
-recs as (select * from l where not (kind in ('csv', 'tsv') and line_no = 1)
-  and not (kind = 'bed' and (starts_with(x, '#') or starts_with(x, 'track') or starts_with(x, 'browser')))),
+recs as (select * from l where not coalesce(kind in ('csv', 'tsv') and line_no = 1 and x is not null, false)
+  and not coalesce(kind = 'bed' and (starts_with(x, '#') or starts_with(x, 'track') or starts_with(x, 'browser')), false)),
 csv0 as (select *, regexp_extract(x, '^[ \t]*("(?:[^"]|"")*"|[^",]*)[ \t]*,[ \t]*("(?:[^"]|"")*"|[^",]*)[ \t]*$', ['a', 'b']) as f,
   regexp_matches(x, '^[ \t]*("(?:[^"]|"")*"|[^",]*)[ \t]*,[ \t]*("(?:[^"]|"")*"|[^",]*)[ \t]*$') as ok from recs where kind = 'csv'),
 tsv0 as (select *, regexp_split_to_array(trim(x, E' \t'), '[ \t]+') as f from recs where kind = 'tsv'),
@@ -74,6 +74,30 @@ bed_ok as (select *, len(f) between 3 and 12 and not contains(x, '"') and regexp
 """
 
 
+def _id_reason(name: str) -> str:
+    return f"""case when {name} = '' then '{name}: empty' when lower({name}) in ('na', 'n/a', 'null', 'none') then '{name}: word for a missing value'
+  when not regexp_matches({name}, '^[\\x20-\\x7e]*$') then '{name}: character outside printable ASCII' when length({name}) > 120 then '{name}: longer than 120 characters'
+  when not regexp_matches({name}, '[A-Za-z0-9]') then '{name}: no letter or digit' end"""
+
+
+_P1R = _P1 + rf""", fields as (select *, case when kind = 'csv' then length(regexp_replace(regexp_replace(x, '"([^"]|"")*"', 'q', 'g'), '[^,]', '', 'g')) + 1
+    when kind = 'tsv' then len(regexp_split_to_array(trim(x, E' 	'), '[ 	]+')) else length(regexp_replace(x, '[^	]', '', 'g')) + 1 end as n from recs),
+rs as (
+  select r.line_id, r.file_path, r.kind as line_kind, r.line_no, case when x is null then 'missing line'
+    when kind = 'csv' and not regexp_matches(x, '^[ 	]*("([^"]|"")*"|[^",]*)[ 	]*(,[ 	]*("([^"]|"")*"|[^",]*)[ 	]*)*$') then 'broken quoting'
+    when kind = 'tsv' and contains(x, '"') then 'quote in tsv' when n <> 2 then n || ' fields instead of 2' else coalesce({_id_reason("origin")}, {_id_reason("destination")}) end as reason
+  from fields r left join pairs p on p.line_id = r.line_id where kind in ('csv', 'tsv')
+  union all
+  select r.line_id, r.file_path, r.kind, r.line_no, case when r.x is null then 'missing line' when contains(r.x, '"') then 'quote in bed' when n not between 3 and 12 then n || ' fields instead of 3 to 12'
+    when not regexp_matches(f[1], '^[A-Za-z0-9][A-Za-z0-9_.\-]*$') then 'chrom: no sequence name' when lower(f[1]) in ('na', 'n/a', 'null', 'none') then 'chrom: word for a missing value'
+    when not regexp_matches(f[2], '^[0-9]+$') then 'chrom_start: no number' when not regexp_matches(f[3], '^[0-9]+$') then 'chrom_end: no number'
+    when not coalesce(try_cast(f[2] as hugeint) < try_cast(f[3] as hugeint), false) then 'chrom_end: not beyond chrom_start'
+    when n >= 5 and not regexp_matches(f[5], '^[0-9]+$') then 'score: no number' when n >= 5 and not coalesce(try_cast(f[5] as hugeint) <= 65535, false) then 'score: above 65535'
+    when n >= 6 and f[6] not in ('+', '-', '.') then 'strand: none of + - .' end from fields r join bed0 b on b.line_id = r.line_id where r.kind = 'bed'
+  union all select line_id, file_path, kind, line_no, 'unknown kind' from l where kind is null or kind not in ('csv', 'tsv', 'bed'))
+"""
+
+
 # --- 4: references to records that do not exist
 
 
@@ -155,6 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "select line_id from pairs_ok where not coalesce(good, false) union all select line_id from bed_ok where not coalesce(good, false) union all select line_id from l where kind is null or kind not in ('csv', 'tsv', 'bed')",
+    "p1_rejects": _P1R + "select line_id, file_path, line_kind, line_no, reason from rs where reason is not null",
+    "p1_reject_counts": _P1R + "select line_kind, reason, count(*) as n_lines, count(distinct file_path) as n_files from rs group by all",
     "p1_rename_rows": _P1 + "select line_id, file_path, origin, destination from pairs_ok where good",
     "p1_bed_rows": _P1 + "select line_id, f[1] as chrom, try_cast(f[2] as bigint) as chrom_start, try_cast(f[3] as bigint) as chrom_end, f[4] as name, try_cast(f[5] as bigint) as score, f[6] as strand from bed_ok where good",
     "p4_found": _P4 + "select table_name, row_id from found where kind = 'direct' and table_name <> 'taxon_records'",
