@@ -22,7 +22,6 @@ from phylospark.sources import files, sinks
 log = logging.getLogger("phylospark")
 OUTPUTS = list(sinks.SEQUENCE_FORMATS)
 FASTA = ["fasta", "fasta-int"]
-PARTITIONS = sinks.PARTITION_FORMATS
 
 
 # --- arguments

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.functions import seqs
 from phylospark.functions.batches import text_bytes
 from phylospark.operators.ranges import join_same, running_sum
 from phylospark.operators.stats import ratio
+from phylospark.runtime import is_small, materialize
 
 LOW_Q = 20
 THRESHOLDS = (750, 1000, 1500)
@@ -148,37 +149,49 @@ def read_positions(reads: DataFrame) -> DataFrame:
 def contig_summary(contigs: DataFrame) -> DataFrame:
     """One row an assembly: bases, contents over known bases, lengths with unknown ones, median, deviation, N50/N75/N90, numbers of long contigs.
 
-    Median and N statistics come from the counts of contigs by length, with running sums over ranges: an assembly of any size is spread.
+    Median and N statistics come from the counts of contigs by length, with running sums over ranges, one sort for both: an assembly of any size is spread.
     """
     up = F.upper("seq")
     n = F.length("seq").cast("bigint")
     rows = contigs.select("path", n.alias("len"), *[seqs.count_of(up, c).alias(f"_{c}") for c in "GCATN"])
     base = rows.groupBy("path").agg(
-        F.count("*").alias("contig_count"), *[F.sum(f"_{c}").alias(f"{c.lower()}_count") for c in "GCATN"],
+        F.count("*").alias("contig_count"), F.count("len").alias("_known"), *[F.sum(f"_{c}").alias(f"{c.lower()}_count") for c in "GCATN"],
         F.sum("len").alias("len_sum"), F.min("len").alias("len_min"), F.max("len").alias("len_max"), F.stddev_samp("len").alias("len_stdev"),
         *[F.count_if(F.col("len") > t).alias(f"contig_{t}") for t in THRESHOLDS],
     )
     nucleotide = F.col("g_count") + F.col("c_count") + F.col("a_count") + F.col("t_count")
     base = base.withColumns({"nucleotide": nucleotide, "base_count": nucleotide + F.col("n_count")})
     base = base.withColumns({"gc_content": ratio(F.col("g_count") + F.col("c_count"), "base_count"), "at_content": ratio(F.col("a_count") + F.col("t_count"), "base_count"), "len_mean": ratio("len_sum", "contig_count")})
+    base = materialize(base, "assemblies")
     lengths = contigs.select("path", n.alias("len")).filter("len is not null").groupBy("path", "len").agg(F.count("*").alias("_n"))
-    return join_same(join_same(base, n_stats(lengths), ["path"]), medians(lengths), ["path"])
+    down = lengths.withColumn("_down", -F.col("len")).withColumn("_sum", F.col("len") * F.col("_n"))
+    r = running_sum(down, ["path"], ["_down"], ["_n", "_sum"], ["_upto", "_reached"], cut="lengths")
+    r = join_same(r, base.select("path", F.col("_known").alias("_all"), F.col("len_sum").alias("_total")), ["path"], small=is_small(base))
+    found = r.groupBy("path").agg(*_n_columns("_reached", "_total"), _median_column())
+    return join_same(base.drop("_known"), found, ["path"])
 
 
-def medians(lengths: DataFrame) -> DataFrame:
-    """path, len_median from path, len, _n: the middle value, or the mean of the two."""
-    r = running_sum(lengths, ["path"], ["len"], "_n", out="_upto", total="_all", cut="medians")
+def _median_column() -> Column:
+    """The middle length, or the mean of the two, of rows with _n lengths each up to the rank _upto of _all; from either end."""
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     has = lambda k: (k <= F.col("_upto")) & (k > F.col("_upto") - F.col("_n"))
-    return r.groupBy("path").agg(((F.max(F.when(has(low), F.col("len"))) + F.max(F.when(has(high), F.col("len")))) / 2.0).alias("len_median"))
+    return ((F.max(F.when(has(low), F.col("len"))) + F.max(F.when(has(high), F.col("len")))) / 2.0).alias("len_median")
+
+
+def _n_columns(reached: str, total: str) -> list[Column]:
+    at = lambda p: F.max(F.when(F.col(reached) >= F.floor(F.col(total) * F.lit(p)), F.col("len")))
+    return [at(0.5).alias("n50"), at(0.75).alias("n75"), at(0.9).alias("n90")]
+
+
+def medians(lengths: DataFrame) -> DataFrame:
+    """path, len_median from path, len, _n: the middle value, or the mean of the two."""
+    return running_sum(lengths, ["path"], ["len"], "_n", out="_upto", total="_all", cut="medians").groupBy("path").agg(_median_column())
 
 
 def n_stats(lengths: DataFrame) -> DataFrame:
     """path, n50, n75, n90 from path, len, _n: going down from the longest, the length at which the sum reaches that share (cut to a whole number) of all."""
     w = lengths.withColumn("_down", -F.col("len")).withColumn("_sum", F.col("len") * F.col("_n"))
-    r = running_sum(w, ["path"], ["_down"], "_sum", out="_upto", total="_all", cut="nstats")
-    at = lambda p: F.max(F.when(F.col("_upto") >= F.floor(F.col("_all") * F.lit(p)), F.col("len")))
-    return r.groupBy("path").agg(at(0.5).alias("n50"), at(0.75).alias("n75"), at(0.9).alias("n90"))
+    return running_sum(w, ["path"], ["_down"], "_sum", out="_upto", total="_all", cut="nstats").groupBy("path").agg(*_n_columns("_upto", "_all"))
 
 
 # --- MAF blocks: columns path, block_idx, score, sequences (source, start, size, strand, src_size, text)

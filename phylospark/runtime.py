@@ -94,16 +94,6 @@ def write_new(spark: SparkSession, path: str, text: str) -> None:
         raise FileExistsError(path)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file."""
-    fs, p = filesystem(spark, path)
-    stream = fs.create(p, True)
-    try:
-        stream.write(bytearray(text.encode()))
-    finally:
-        stream.close()
-
-
 def clean() -> None:
     """Delete the tables that `materialize` wrote. Frames that read them end with it, so call it between jobs of a long session; it runs when Python ends."""
     for spark, path in _written:

@@ -211,11 +211,6 @@ def _empty(spark: SparkSession, folder: str, force: bool) -> str:
     return folder
 
 
-def output_name(path: str, fmt: str) -> str:
-    """The input's file name with the extension of the output format."""
-    return os.path.splitext(os.path.basename(path))[0] + "." + SEQUENCE_FORMATS[fmt]
-
-
 def partition_name(path: str, fmt: str) -> str:
     """Where the partition table of an alignment file goes: next to it, or into it for charsets."""
     if fmt.startswith("charset"):
