@@ -8,9 +8,9 @@ limit, if values of the source stop at just this length (in characters or bytes)
 are above the language's prior. The value is cut if their sum, `score`, is above the threshold of its language and column, the negative prior log-odds
 of a cut, which are learnt by expectation maximization.
 
-Counts are over all texts. The model has the suffixes that values end with; only these are counted and shuffled. It has at most CONTEXTS of
-them, so that it fits every executor: with more, those that end fewer than 2, 4, 8, .. texts are left to their shorter suffixes, as few as need be.
-Scoring is a map over the values with the model at hand.
+Counts are over all texts. The model has the suffixes that values end with, all of them at any size; only these are counted and shuffled. With at most
+CONTEXTS of them scoring is a map over the values with the model at hand; with more, which no executor could hold, the model is a table that is joined
+to the values' suffixes. Both give the same scores.
 
 Defined results: null and blank texts are not cut and have no row in `scores`; repeated texts count once as ends of texts; a null
 language or source is one of its own; languages are compared in lower case; a text is compared with what is inside of all texts, its own too.
@@ -30,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from phylospark.operators.bitmaps import in_bitmap
-from phylospark.operators.ranges import join_same, join_unique
+from phylospark.operators.bitmaps import bitmap, in_bitmap
+from phylospark.operators.ranges import HOT_ROWS, join_same, join_skewed, join_unique
 from phylospark.runtime import is_small, materialize
 
 ORDERS = (1, 2, 3, 4, 6, 8, 11, 14, 18)
-#: Most suffixes of the model, 20 bytes each, and the bits of the bitmap of them for each.
+#: Most suffixes of a model that is sent to all, 20 bytes each.
 CONTEXTS = 1 << 23
-BITS_EACH = 16
+#: Bits of the bitmap of wanted suffixes for each, and at most, as a power of two (32 MB). With more suffixes than BLOCK the texts are counted in several passes.
+BITS_EACH, MOST_BITS = 16, 28
+BLOCK = 1 << 25
 #: Weight of the shorter suffix, in occurrences.
 BACKOFF = 0.5
 #: How much an end of a sentence counts as an end without its closing mark: about the share of complete texts written without one.
@@ -267,19 +269,10 @@ def inner_counts(df: DataFrame, text: str, wanted: np.ndarray, bits: int) -> Dat
 
 
 def _ends_of(values: DataFrame) -> DataFrame:
-    """h, f, texts: how many different texts end with a suffix, those that are examples of an end and all."""
+    """h, f: how many different texts end with a suffix as examples of an end, 0 for suffixes of others only."""
     texts = values.groupBy("text_hash").agg(F.first("hs").alias("hs"), F.first("whole").alias("whole"))
     rows = texts.select(F.col("whole").cast("int").alias("f"), F.explode("hs").alias("h"))
-    return rows.groupBy("h").agg(F.sum("f").alias("f"), F.count("*").alias("texts"))
-
-
-def least_texts(at_end: DataFrame, most: int) -> int:
-    """The smallest power of two such that at most `most` suffixes end at least so many texts."""
-    by = {r.k: r.n for r in at_end.groupBy(F.floor(F.log2("texts") + 1e-9).alias("k")).agg(F.count("*").alias("n")).collect()}  # a row for each power of two
-    k = 0
-    while sum(n for i, n in by.items() if i >= k) > most:
-        k += 1
-    return 1 << k
+    return rows.groupBy("h").agg(F.sum("f").alias("f"))
 
 
 class Model:
@@ -302,34 +295,75 @@ class Model:
         return Model(self.h, n, e)
 
     def score(self, hs: pa.ListArray, own: np.ndarray) -> np.ndarray:
-        """Log-odds of the values' final contexts for a stop against an end; own: 1 where the value itself is one of the examples."""
+        """As `log_odds`, of the values' suffixes."""
         flat = hs.flatten().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(hs)), np.diff(hs.offsets.to_numpy()))
         at = np.minimum(np.searchsorted(self.h, flat), max(len(self.h) - 1, 0))
         known = self.h[at] == flat if len(self.h) else np.zeros(len(flat), dtype=bool)
         flat, row, at = flat[known], row[known], at[known]
-        n, e = np.zeros((2, len(ORDERS), len(hs)))
-        n[flat & 15, row] = np.maximum(self.n[at] - own[row], 0)
-        e[flat & 15, row] = np.maximum(self.e[at] - own[row], 0)
-        p = np.full(len(hs), self.base)
-        for k in range(len(ORDERS)):
-            p = (e[k] + BACKOFF * p) / (n[k] + BACKOFF)
-        return np.log(self.base / p)
+        return log_odds(flat & 15, row, self.n[at], self.e[at], own, self.base)
+
+
+def log_odds(order: np.ndarray, row: np.ndarray, n: np.ndarray, e: np.ndarray, own: np.ndarray, base: float) -> np.ndarray:
+    """Log-odds of the values' final contexts for a stop against an end, from the counts of their suffixes, each with the place of its order and the
+    value's row; own, by row: 1 where the value itself is one of the examples."""
+    ns, es = np.zeros((2, len(ORDERS), len(own)))
+    ns[order, row] = np.maximum(n - own[row], 0)
+    es[order, row] = np.maximum(e - own[row], 0)
+    p = np.full(len(own), base)
+    for k in range(len(ORDERS)):
+        p = (es[k] + BACKOFF * p) / (ns[k] + BACKOFF)
+    return np.log(base / p)
+
+
+def _wanted(suffixes: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bitmap of n suffixes, and its bits as a power of two."""
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(max(1, n) * BITS_EACH))))
+    return bitmap(suffixes.select(F.shiftrightunsigned("h", 4).alias("h")), "h", bits), bits
+
+
+def _counted(df: DataFrame, text: str, values: DataFrame, at_end: DataFrame, n: int, block: int) -> DataFrame:
+    """h, n, e as `inner_counts`, of at least the n suffixes at_end. A pass takes the suffixes of a share of the values. It has with a suffix its shorter ones,
+    so its counts are whole; a suffix of several passes is counted in each."""
+    passes = max(1, math.ceil(n / block))
+    if passes == 1:
+        return inner_counts(df, text, *_wanted(at_end, n))
+    parts = []
+    for i in range(passes):
+        some = materialize(_ends_of(values.filter(F.pmod("text_hash", F.lit(passes)) == i)).select("h"), "wanted")
+        parts.append(materialize(inner_counts(df, text, *_wanted(some, some.count())).join(some, "h", "left_semi"), "inner"))
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("h").agg(F.max("n").alias("n"), F.max("e").alias("e"))
+
+
+def trained(df: DataFrame, text: str, values: DataFrame, contexts: int = CONTEXTS, block: int = BLOCK) -> tuple[Model, DataFrame | None]:
+    """The model of all texts, which the driver and each executor hold. With more than `contexts` suffixes that is the model of the shortest ones only,
+    one character each, and a table h, n, e has all."""
+    at_end = materialize(_ends_of(values), "suffixes")
+    size = at_end.count()
+    inner = _counted(df, text, values, at_end, size, block)
+    found = at_end.join(inner, "h", "left").select("h", (F.coalesce("n", F.lit(0)) + F.col("f")).alias("n"), (F.coalesce("e", F.lit(0.0)) + F.col("f")).cast("float").alias("e"))
+    table = materialize(found, "model") if size > contexts else None
+    return _held(found if table is None else _shortest(table)), table
 
 
-def trained(df: DataFrame, text: str, values: DataFrame, contexts: int = CONTEXTS) -> tuple[Model, DataFrame]:
-    """The model of all texts, and its suffixes as a table. The driver and each executor hold it, at most `contexts` suffixes."""
-    at_end = materialize(_ends_of(values), "suffixes")
-    kept = at_end.filter(F.col("texts") >= least_texts(at_end, contexts))
-    h = kept.select("h").toPandas()["h"].to_numpy(np.int64)
-    bits = max(16, math.ceil(math.log2(max(1, len(h)) * BITS_EACH)))
-    bit = (h.view(np.uint64) >> np.uint64(4)) & np.uint64(2**bits - 1)
-    words = np.zeros(2 ** (bits - 6), dtype=np.uint64)
-    np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    inner = inner_counts(df, text, words.view(np.int64), bits)
-    found = kept.join(inner, "h", "left").select("h", (F.coalesce("n", F.lit(0)) + F.col("f")).alias("n"), (F.coalesce("e", F.lit(0.0)) + F.col("f")).cast("float").alias("e")).toPandas()
-    found = found.iloc[np.argsort(found["h"].to_numpy(np.int64))]
-    return Model(*(found[c].to_numpy() for c in ("h", "n", "e"))), kept.select("h")
+def _shortest(table: DataFrame) -> DataFrame:
+    return table.filter(F.col("h").bitwiseAND(F.lit(15)) == 0)
+
+
+def _held(table: DataFrame) -> Model:
+    rows = table.toPandas()
+    rows = rows.iloc[np.argsort(rows["h"].to_numpy(np.int64))]
+    return Model(*(rows[c].to_numpy() for c in ("h", "n", "e")))
+
+
+def without(model: Model, table: DataFrame | None, gone: DataFrame) -> tuple[Model, DataFrame | None]:
+    """What `trained` gives, without the examples of ends `gone` (h, f)."""
+    if table is None:
+        rows = gone.toPandas()  # no more than the model has
+        return model.without(rows["h"].to_numpy(np.int64), rows["f"].to_numpy(np.float64)), None
+    f = F.coalesce("f", F.lit(0))
+    table = materialize(table.join(gone.select("h", "f"), "h", "left").select("h", (F.col("n") - f).alias("n"), (F.col("e").cast("double") - f).cast("float").alias("e")), "model")
+    return _held(_shortest(table)), table
 
 
 def with_scores(values: DataFrame, model: Model) -> DataFrame:
@@ -348,6 +382,26 @@ def with_scores(values: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", context double")
 
 
+def with_joined_scores(values: DataFrame, table: DataFrame, base: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """As `with_scores` with a model that is a table. Values with the same longest suffix are scored once; suffixes and values that are hot are spread."""
+    rows = values.drop("context").withColumn("_last", F.element_at("hs", -1))
+    ends = rows.groupBy("_last").agg(F.first("hs").alias("hs"), F.count("*").alias("_rows")).select("_last", "_rows", F.explode("hs").alias("_h"))
+    met = join_skewed(materialize(ends, "ends"), "_h", table, "h", "inner", hot_rows=hot_rows)
+    met = met.groupBy("_last", "_rows").agg(F.collect_list(F.struct("_h", "n", "e")).alias("met"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            row = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
+            h, n, e = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            score = [pa.array(log_odds(h & 15, row, n.astype(np.float64), e, np.full(len(b), float(own)), base)) for own in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *score], names=["_last", "_rows", "_other", "_own"])
+
+    scored = materialize(met.mapInArrow(run, "_last bigint, _rows bigint, _other double, _own double"), "contexts")
+    joined = join_unique(rows, scored, ["_last"], "_rows", hot_rows)
+    return joined.select(*[c for c in rows.columns if c != "_last"], F.when(F.col("whole") & ~F.col("cut"), F.col("_own")).otherwise(F.col("_other")).alias("context"))
+
+
 def with_lengths(values: DataFrame) -> DataFrame:
     """The values with `stop`: the share of the source's values of at least this length that stop just here, the larger of characters and bytes.
 
@@ -393,15 +447,14 @@ def priors(scored: DataFrame) -> DataFrame:
 def scores(df: DataFrame, key: str, text: str, lang: str, source: str, column: str | None = None, contexts: int = CONTEXTS) -> DataFrame:
     """key, lang, source, column, context, length, score, threshold, cut for each value with any text. The threshold is the language's and column's."""
     values = materialize(finals(df, key, text, lang, source), "finals")
-    model, suffixes = trained(df, text, values, contexts)
+    model, table = trained(df, text, values, contexts)
     stop = F.least(F.lit(MOST_STOP), F.greatest(F.lit(0.0), F.col("stop")))
     known = F.when(stop > 0.1, F.log(stop / (1 - stop)))
     rows = with_lengths(values).select("key", "lang", "source", "text_hash", "hs", "whole", known.alias("known"), F.lit(False).alias("cut"))
     for n in range(ROUNDS):
         if n:
-            gone = _ends_of(rows.filter("cut")).join(suffixes, "h", "left_semi").toPandas()  # no more than the model has
-            model = model.without(gone["h"].to_numpy(np.int64), gone["f"].to_numpy(np.float64))
-        rows = materialize(with_scores(rows, model), "scores")
+            model, table = without(model, table, _ends_of(rows.filter("cut")))
+        rows = materialize(with_scores(rows, model) if table is None else with_joined_scores(rows, table, model.base), "scores")
         prior = materialize(priors(rows), "priors")
         joined = join_same(rows, prior, ["lang"], small=is_small(prior))
         length = F.greatest(F.lit(0.0), F.coalesce(F.col("known") - F.col("prior"), F.lit(0.0)))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from phylospark.llm.truncation import Model, Prepared, _tail, finals, learn_prior, scores
+from pyspark.sql import functions as F
 
 WHO = "The archive|The student|A driver|The old museum|Our committee".split("|")
 DOES = "opens|repairs|measures|sends|describes".split("|")
@@ -147,3 +148,27 @@ def test_repeated_texts_and_clashing_columns(spark):
     df = spark.createDataFrame([(i, x, "en", "s", 1, 2, "c") for i, (x, _) in enumerate(rows)], "doc_id long, text string, lang string, source string, key int, h int, cut string")
     got = {r.key: r.cut for r in scores(df, "doc_id", "text", "lang", "source").collect()}
     assert len(got) == len(rows) and all(got[i] for i in range(500, 1300)) and not any(got[i] for i in range(1300, 1600))
+
+
+def test_any_size_of_model(spark):
+    """Scores do not depend on how many suffixes are held or counted at once: the model as a table, counted in passes, hot keys spread."""
+    from phylospark.llm import truncation as t
+
+    rng = random.Random(8)
+    rows = corpus(rng, 500) + [("The student sends the", True)] * 60 + corpus(rng, 100, 90)
+    ddl = "doc_id long, text string, lang string, source string"
+    df = spark.createDataFrame([(i % 600, x, "xx" if i % 3 else "en", "s") for i, (x, _) in enumerate(rows)], ddl).repartition(3)
+    held, joined = (sorted((r.key, r.lang, r.cut, round(r.context, 4), round(r.threshold, 4)) for r in scores(df, "doc_id", "text", "lang", "source", contexts=n).collect()) for n in (t.CONTEXTS, 50))
+    assert len(held) == len(rows) and held == joined
+
+    values = finals(df, "doc_id", "text", "lang", "source")
+    model, none = t.trained(df, "text", values)
+    assert none is None
+    for contexts, block in ((len(model.h), 1500), (len(model.h) - 1, 10**9)):
+        short, table = t.trained(df, "text", values, contexts, block)
+        got = short if table is None else t._held(table)
+        assert np.array_equal(got.h, model.h) and np.array_equal(got.n, model.n) and np.allclose(got.e, model.e) and abs(short.base - model.base) < 1e-6
+    rows = values.withColumn("cut", F.col("key") % 7 == 0)
+    want = sorted((r.key, r.text_hash, round(r.context, 4)) for r in t.with_scores(rows, model).collect())
+    for hot in (10**9, 10):
+        assert sorted((r.key, r.text_hash, round(r.context, 4)) for r in t.with_joined_scores(rows, table, short.base, hot).collect()) == want
