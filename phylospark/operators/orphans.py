@@ -94,6 +94,9 @@ def orphans(tables: dict[str, DataFrame], ids: dict[str, str], references: list[
         keys = sorted({r.parent_key for r in references if r.parent == name})
         return df.select(F.lit(name).alias("table_name"), F.col(ids[name]).cast("bigint").alias("row_id"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), *extra, F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.col(k).cast("string") for k in keys])).alias("_keys") if keys else F.lit(None).cast("map<string,string>").alias("_keys"))
 
+    def once(df: DataFrame, ways: list[Reference]) -> DataFrame:
+        return df.dropDuplicates(["table_name", "row_id"]) if len({r.child for r in ways}) < len(ways) else df  # repeated rows stay where there is one way
+
     found: DataFrame | None = None
     for r in references:
         if r.child not in ids or r.parent in ids and not r.valid_from and r.parent not in tables:
@@ -103,8 +106,8 @@ def orphans(tables: dict[str, DataFrame], ids: dict[str, str], references: list[
     cascades = [r for r in references if r.parent in {x.child for x in references}] if inherited else []
     out = ["table_name", "row_id", "kind", "depth", *passed]
     if not cascades:
-        return found.select(out).dropDuplicates(["table_name", "row_id"]) if len({r.child for r in references}) < len(references) else found.select(out)
-    found = materialize(found.dropDuplicates(["table_name", "row_id"]), "orphans")
+        return once(found.select(out), references)
+    found = materialize(once(found, references), "orphans")
     fresh, everything = found, found
     for depth in count(1):  # ends, as a round adds only rows not yet known
         n_fresh = fresh.count()
@@ -128,7 +131,7 @@ def orphans(tables: dict[str, DataFrame], ids: dict[str, str], references: list[
             child = child.join(known, F.col(ids[r.child]).cast("bigint") == F.col("_known"), "left_anti")
             part = shaped(child, r.child, "inherited", depth)
             step = part if step is None else step.unionByName(part)
-        fresh = materialize(step.dropDuplicates(["table_name", "row_id"]), "orphans")
+        fresh = materialize(once(step, cascades), "orphans")
         everything = everything.unionByName(fresh)
         if depth % MERGED_ROUNDS == 0:
             everything = materialize(everything, "orphans")

@@ -101,7 +101,7 @@ rs as (
 # --- 4: references to records that do not exist
 
 
-def _orphans(spark: SparkSession, folder: str, inherited: bool = True) -> DataFrame:
+def _orphans(spark: SparkSession, folder: str) -> DataFrame:
     keyed = lambda name, col, *more: table(spark, folder, name).select(id_key(F.col(col)).alias("id"), *more)
     tables = {
         "taxa": keyed("taxa", "taxon", "registered_at", "deleted_at"),
@@ -114,14 +114,14 @@ def _orphans(spark: SparkSession, folder: str, inherited: bool = True) -> DataFr
         orphans.Reference("sequences", "id", "taxa", "id", **timed),
         orphans.Reference("rename_map", "id", "taxa", "id", **timed),
         orphans.Reference("taxon_records", "id", "sequences", "id"),  # a dataset's record of a taxon stands on that taxon's sequences
-    ][: 3 if inherited else 2]
+    ]
     children = ["sequences", "rename_map", "taxon_records"]
-    return orphans.orphans(tables, dict.fromkeys(children, "row_id"), references, carry=dict.fromkeys(children, ["loaded_at"]), inherited=inherited)
+    return orphans.orphans(tables, dict.fromkeys(children, "row_id"), references, carry=dict.fromkeys(children, ["loaded_at"]))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The cases are the orphans of the fixpoint's round 0; what inherits from them is in p4_orphans."""
-    return _orphans(spark, folder, inherited=False).select("table_name", "row_id")
+    """The cases are what the whole fixpoint finds in the two tables; the records that inherit from them are in p4_orphans."""
+    return _orphans(spark, folder).filter(F.col("table_name").isin("sequences", "rename_map")).select("table_name", "row_id")
 
 
 def p4_orphans(spark: SparkSession, folder: str) -> DataFrame:

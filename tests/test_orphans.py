@@ -3,6 +3,7 @@ import random
 
 from phylospark.functions.ids import id_key
 from phylospark.operators.orphans import Reference, orphans, per_period, without_parent
+from phylospark.plans import problems
 from pyspark.sql import functions as F
 
 
@@ -60,3 +61,27 @@ def test_id_key(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     got = [r.same for r in df.select((id_key(F.col("a")) == id_key(F.col("b"))).alias("same")).collect()]
     assert got == [True, False, True, True, True, False, None]
+
+
+def test_query_runs_the_whole_fixpoint(spark, tmp_path, monkeypatch):
+    """p4_found's rows come out of the fixpoint over the whole graph; rows that are repeated in the tables stay, as in SQL."""
+    tables = {
+        "taxa": ([("Aus bus", day(0), day(10)), ("Cus", day(0), None)], "taxon string, registered_at timestamp, deleted_at timestamp"),
+        "sequences": ([(1, "bus_aus", day(5)), (2, "Aus bus", day(20)), (3, "Dus", day(1)), (3, "Dus", day(1)), (4, None, day(1)), (5, "Cus", None)], "row_id long, taxon string, loaded_at timestamp"),
+        "rename_map": ([(1, "cus", day(3)), (2, "Eus", day(3)), (2, "Eus", day(3))], "row_id long, origin string, loaded_at timestamp"),
+        "taxon_records": ([(1, "Dus", day(2)), (1, "Dus", day(2)), (2, "Aus bus", day(2)), (3, "Fus", day(2)), (4, "Cus", day(2))], "record_id long, taxon string, loaded_at timestamp"),
+    }
+    for name, (rows, ddl) in tables.items():
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    whole = []
+
+    def spy(*args, **kwargs):
+        whole.append(orphans(*args, **kwargs))
+        return whole[-1]
+
+    monkeypatch.setattr(problems.orphans, "orphans", spy)
+    got = sorted(map(tuple, problems.p4_found(spark, str(tmp_path)).collect()))
+    assert got == [("rename_map", 2), ("rename_map", 2), ("sequences", 2), ("sequences", 3), ("sequences", 3), ("sequences", 5)]
+    (found,) = whole
+    records = [("taxon_records", 1, "inherited", 1)] * 2 + [("taxon_records", 3, "direct", 0), ("taxon_records", 4, "inherited", 1)]
+    assert sorted((r.table_name, r.row_id, r.kind, r.depth) for r in found.collect()) == [(*x, "direct", 0) for x in got] + records
