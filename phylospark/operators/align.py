@@ -251,6 +251,38 @@ def _each(rows: DataFrame, made: Callable[..., Iterator[tuple]], ddl: str) -> Da
     return rows.mapInArrow(run, ddl)
 
 
+#: Positions of a stretch, by which segments and parts find each other.
+STRETCH = 2_000
+
+
+def split_segments(segs: DataFrame, parts: DataFrame) -> DataFrame:
+    """locus, taxon, seq: what `split` makes of the concatenated alignment, out of its `segments` (taxon, start, end, seq), so that what taxa lack is never made.
+
+    Both are found by positions alone: segments are cut at every STRETCH positions, a stretch meets the parts that overlap it, and what a part has of a
+    taxon is put together, '?' where there is none. part_idx must be unique. A part beyond the alignment raises, and so does a segment of another length than its stretch.
+    """
+    at = lambda c: F.floor((F.col(c) - 1) / STRETCH)
+    beyond = lambda fine, gene: F.when(fine, F.col("end")).otherwise(F.raise_error(F.concat(F.lit("a part beyond the alignment: "), gene)))
+    total = segs.agg(F.coalesce(F.max("end"), F.lit(0)).alias("_total"))  # one row
+    known = parts.select("part_idx", "gene", "start", "end").crossJoin(F.broadcast(total))
+    known = known.withColumn("end", beyond((F.col("start") >= 1) & (F.col("end") <= F.col("_total")), F.col("gene"))).filter("start <= end")
+    known = materialize(known.select("part_idx", F.col("gene").alias("locus"), F.col("start").alias("_from"), F.col("end").alias("_to"), F.explode(F.sequence(at("start"), at("end"))).alias("_of")), "split_parts")
+    cut = segs.withColumn("end", beyond(F.length("seq") == F.col("end") - F.col("start") + 1, F.concat(F.col("taxon"), F.lit(" at "), F.col("start").cast("string"))))
+    cut = cut.select("taxon", "start", "end", "seq", F.explode(F.sequence(at("start"), at("end"))).alias("_at"))
+    cut = cut.withColumns({"_lo": F.greatest("start", F.col("_at") * STRETCH + 1), "_hi": F.least("end", (F.col("_at") + 1) * STRETCH)})
+    piece = lambda seq, lo, hi, first: F.substring(seq, (lo - first + 1).cast("int"), (hi - lo + 1).cast("int"))
+    cut = cut.select("taxon", "_at", "_lo", "_hi", piece(F.col("seq"), F.col("_lo"), F.col("_hi"), F.col("start")).alias("_piece"))
+    met = join_skewed(cut, "_at", known, "_of", "inner", (F.col("_from") <= F.col("_hi")) & (F.col("_to") >= F.col("_lo")), small=is_small(known))
+    lo, hi = F.greatest("_lo", "_from"), F.least("_hi", "_to")
+    met = met.select("part_idx", "locus", "_from", "_to", "taxon", lo.alias("lo"), hi.alias("hi"), piece(F.col("_piece"), lo, hi, F.col("_lo")).alias("piece"))
+    by = met.groupBy("part_idx", "locus", "_from", "_to", "taxon").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "piece"))).alias("s"))
+    before = lambda i: F.when(i == 0, F.col("_from") - 1).otherwise(F.get(F.col("s"), i - 1)["hi"])
+    fill = lambda n: F.repeat(F.lit("?"), n.cast("int"))
+    pieces = F.flatten(F.transform("s", lambda x, i: F.array(fill(x["lo"] - before(i) - 1), x["piece"])))
+    out = by.select("locus", "taxon", F.concat_ws("", pieces, fill(F.col("_to") - F.get(F.col("s"), F.size("s") - 1)["hi"])).alias("seq"))
+    return out.filter(seqs.ungapped(F.col("seq")) != "")
+
+
 # --- trimming
 
 
