@@ -2,10 +2,13 @@
 
 import gzip
 import io
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from phylospark.operators import align
+from phylospark.plans import roundtrips
 from phylospark.sources import files, parsers, ranges, sinks
 
 NEX = "#NEXUS\n\nBEGIN DATA;\nDIMENSIONS  NTAX={n} NCHAR={c};\nFORMAT DATATYPE=DNA GAP=- MISSING=?{i};\nMATRIX\n\n{m}\n;\nEND;"
@@ -212,3 +215,37 @@ def test_tables(spark, tmp_path):
     with pytest.raises(Exception, match="begins at"):
         files.scan_partitions(spark, [put(tmp_path, "q.txt", "a = 5-10")]).collect()
     assert files.scan_partitions(spark, [str(tmp_path / "q.txt")], checked=False).count() == 1
+
+
+def test_segments_as_a_packed_file(spark, tmp_path, monkeypatch):
+    """The text that is written of the sequences themselves, packed, without a shuffle of it; read back as segments, and as the same sequences. Both widths of blocks, several tasks and rows laid out in turns."""
+    monkeypatch.setattr(sinks, "LAID_ROWS", 2)
+    monkeypatch.setattr(sinks, "TASK_CHARS", 200)
+    for k, (long, short) in enumerate(((130, 30), (1200, 900))):
+        rows = [("L1", "b", "ACGT?" * (long // 5)), ("L1", "a_1", "-" * long), ("L2", "longer", "G" + "?" * (short - 1)), ("L2", "b", "TTN" * (short // 3)), ("L3", "c", "?" * 7), ("L10", "a_1", "acg")]
+        aln = spark.createDataFrame(rows, "locus string, taxon string, seq string")
+        whole = {r.taxon: r.seq for r in align.concat(aln).collect()}
+        total = len(whole["b"])
+        path = sinks.write_segments(align.segments(aln), total, f"{tmp_path}/all{k}.nex.gz")
+        plain = sinks.write_one(align.concat(aln), f"{tmp_path}/all{k}.nex", "nexus-int")
+        assert gzip.open(path).read() == open(plain, "rb").read()
+        for p in (path, plain):
+            back = files.scan_nexus_segments(spark, [p])
+            assert {r.taxon: r.seq for r in align.joined(back, back.agg(F.max("end").alias("_total"))).collect()} == whole
+    with pytest.raises(FileExistsError):
+        sinks.write_segments(align.segments(aln), total, path)
+    for text in ("#NEXUS\nbegin data;\ndimensions ntax=2 nchar=3;\nmatrix\na ACG\n;\nend;\n", "#NEXUS\nmatrix\na ACG\n", "#NEXUS\nmatrix\na ACG\nb A\n;\n", "matrix\na ACG\n;\n"):
+        with pytest.raises(parsers.FormatError):
+            list(parsers.nexus_segments(iter([text[:20].encode(), text[20:].encode()])))
+
+
+def test_files_concat_keeps_no_plain_text(spark, tmp_path, monkeypatch):
+    """The query's file is a small part of its text, and no one-file writer of whole sequences is used."""
+    n = 4_000
+    rows = [(i * 40 + j, f"L{i}", f"t{i * 40 + j}", j, "p", "ACGT" * 100) for i in range(n // 400) for j in range(40)]
+    spark.createDataFrame(rows, "row_id long, locus string, taxon string, seq_idx int, path string, seq string").write.parquet(f"{tmp_path}/sequences.parquet")
+    monkeypatch.setattr(sinks, "write_one", None)
+    sizes, write = [], sinks.write_segments
+    monkeypatch.setattr(sinks, "write_segments", lambda *a: sizes.append(os.path.getsize(p := write(*a))) or p)
+    got = {r.taxon: r.seq for r in roundtrips.QUERIES["files_concat"](spark, str(tmp_path)).collect()}
+    assert len(got) == 400 and {len(s) for s in got.values()} == {n} and sizes[0] * 10 < 400 * n
